@@ -1,0 +1 @@
+"""Structured Streaming jobs. None is in scope yet."""
