@@ -21,10 +21,15 @@ def exact_sum(value: Column) -> Column:
     which is exact in any order and stays inside whole-stage codegen; decimals
     appear only once per group, at the end.
 
-    Holds for whole parts adding up to less than 9.2e18 and 9.2e12 rows per
-    group; beyond that, and for NaN or infinity, ANSI mode raises an error.
     Nulls are skipped and a group without values gives null, as with ``sum``.
+    NaN, infinity and values from 2**63 on raise an error. Whole parts may add
+    up to 9.2e18, over 9.2e12 rows per group; Spark's ANSI mode, its default,
+    raises an error beyond that.
     """
+    fits = value.isNull() | (F.abs(value) < 2.0**63)
+    value = F.when(fits, value).otherwise(
+        F.raise_error(F.lit("exact_sum: value is not finite or too large"))
+    )
     whole = F.floor(value)
     millionths = F.rint((value - whole) * 10**PLACES).cast("bigint")
     return (

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import ArithmeticException
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tarn.functions import exact_sum
@@ -66,7 +66,19 @@ def test_no_values_give_null(spark):
     assert total(spark, []) is None
 
 
-@pytest.mark.parametrize("bad", [math.nan, math.inf, -math.inf])
-def test_values_without_a_decimal_form_raise(spark, bad):
-    with pytest.raises(ArithmeticException):
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("bad", [math.nan, math.inf, -math.inf, 2.0**63])
+def test_values_that_cannot_be_added_exactly_raise(spark, ansi, bad):
+    with pytest.raises(SparkRuntimeException, match="exact_sum"):
         total(spark, [1.0, bad])
+
+
+def test_same_total_in_both_ansi_modes(spark, ansi):
+    assert total(spark, [-0.25, 1e12, None, 0.1]) == Decimal("999999999999.85")
