@@ -298,29 +298,29 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
     is empty. Rows that share an id count as one document.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = texts.withColumn("mark", F.xxhash64("text"))
-    known = texts.filter("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    nameless = every.filter("doc_id is null")
+    texts = every.filter("doc_id is not null")
     sized = saved(
-        known.select(
-            "doc_id", "mark", shape.digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes")
-        ),
+        texts.select("doc_id", shape.digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes")),
         "digests",
     )
     long_enough = sized.filter("digest is not null")
     firsts = long_enough.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     copies = (
         long_enough.join(firsts, "digest")
-        .groupBy("doc_id", "mark")
+        .groupBy("doc_id")
         .agg(F.min(F.col("first_id") < F.col("doc_id")).alias("same"))
     )
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
 
-    texts = texts.join(copies, ["doc_id", "mark"], "left").withColumn("same", F.coalesce("same", F.lit(False)))
-    originals = texts.filter("doc_id is not null and not same")
+    # Every join below is on the id alone, so that one shuffle of the texts
+    # serves all three passes over them.
+    texts = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("same", F.lit(False)))
     shared = (
-        originals.select("doc_id", "text")
+        texts.filter("not copy")
+        .select("doc_id", "text")
         .mapInArrow(pack_anchors(shape, buckets), ANCHORS)
         .groupBy("bucket")
         .applyInArrow(match_anchors, "doc_id long, code long")
@@ -328,7 +328,8 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
         .agg(F.collect_list("code").alias("codes"))
     )
     stretches = (
-        originals.join(shared, "doc_id")
+        texts.filter("not copy")
+        .join(shared, "doc_id")
         .select("doc_id", "text", "codes")
         .mapInArrow(pack_segments(shape, buckets, buckets), SEGMENTS)
         .groupBy("bucket")
@@ -336,6 +337,5 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
     )
-    return texts.join(stretches, "doc_id", "left").select(
-        "doc_id", "text", F.col("same").alias("copy"), "stretches"
-    )
+    found = texts.join(stretches, "doc_id", "left").select("doc_id", "text", "copy", "stretches")
+    return found.unionByName(nameless.withColumn("copy", F.lit(False)), allowMissingColumns=True)
