@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text worked on at once; only a single longer text goes beyond it.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _BASE_BYTE = np.uint64(0x9E3779B97F4A7C1B)
 _BASE_WORD = np.uint64(0xD1342543DE82EF97)
