@@ -34,10 +34,10 @@ from tarn.llm.rolling import mix, slices
 from tarn.llm.shared import saved, shuffle_partitions, text_or_empty
 
 # Anchors or segment bytes that a task holds before it passes them on.
-HELD_ANCHORS = 2_000_000
-HELD_BYTES = 1 << 25
+HELD_ANCHORS = 1_000_000
+HELD_BYTES = 1 << 24
 # Bytes of text for each bucket.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
 
 LOW = np.uint64(0xFFFFFFFF)
 THIRTY_TWO = np.uint64(32)
