@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import mix, slices
-from tarn.llm.shared import saved, shuffle_partitions, text_or_empty
+from tarn.llm.shared import earliest_of_copies, saved, shuffle_partitions, text_or_empty
 
 # Anchors or segment bytes that a task holds before it passes them on.
 HELD_ANCHORS = 1_000_000
@@ -306,13 +306,8 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
         texts.select("doc_id", shape.digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes")),
         "digests",
     )
-    long_enough = sized.filter("digest is not null")
-    firsts = long_enough.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = (
-        long_enough.join(firsts, "digest")
-        .groupBy("doc_id")
-        .agg(F.min(F.col("first_id") < F.col("doc_id")).alias("same"))
-    )
+    copies = earliest_of_copies(sized.filter("digest is not null"), "digest")
+    copies = copies.groupBy("doc_id").agg(F.min(F.col("first_id") < F.col("doc_id")).alias("same"))
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
 

@@ -64,3 +64,44 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def earliest_of_copies(keyed: DataFrame, *key: str) -> DataFrame:
+    """For rows whose key others share: doc_id and first_id, the least id of the key.
+
+    The groups are written first, so that the join meets two plain shuffles and
+    Spark can split a group that holds a large share of all rows.
+    """
+    groups = keyed.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+    groups = saved(groups.filter("n_rows > 1").drop("n_rows"), "groups")
+    return keyed.join(groups, list(key)).select("doc_id", "first_id")
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """The least id that each linked id reaches: ``id`` and ``component``.
+
+    ``links`` has ``a`` and ``b``. In each round every id takes the least label
+    among itself and its neighbours, then the label of that label, so that
+    labels jump along chains; each round is written to the shared folder. Rounds
+    grow with the logarithm of the longest chain, mostly, and end when no label
+    changes. Ids are counted, never collected.
+    """
+    links = links.filter("a != b")
+    both = saved(links.union(links.select("b", "a")).distinct(), "links")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component"))
+    labels = saved(labels, "labels")
+    while True:
+        heard = (
+            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            .groupBy(F.col("a").alias("id"))
+            .agg(F.min("component").alias("heard"))
+        )
+        nearer = labels.join(heard, "id").select("id", "component", F.least("component", "heard").alias("near"))
+        of_label = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
+        stepped = nearer.join(of_label, "near", "left").select(
+            "id", F.least("near", "far").alias("component"), F.col("component").alias("before")
+        )
+        stepped = saved(stepped, "labels")
+        labels = stepped.select("id", "component")
+        if stepped.filter("component != before").isEmpty():
+            return labels
