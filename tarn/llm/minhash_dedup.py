@@ -3,29 +3,31 @@
 One hash function orders all shingles; a document retains the ``keep`` least of
 its set. Two sets of Jaccard similarity 0.8 share most of what they retain:
 each of the least ``keep`` values of the union is in both with probability 0.8,
-so fewer than ``AT_LEAST`` of 48 shared ones have a probability under 1e-9, and
-no two neighbouring shared ones one under 1e-13. Sets of up to 25 shingles are
-retained whole, where both statements hold for certain.
+so fewer than ``AT_LEAST`` of 48 shared ones have a probability under 1e-9. Sets
+of up to 25 shingles share 0.8 of what they retain for certain.
 
 Candidates come from inverted lists of the retained values. No list is expanded
 into all its pairs:
 
 1. Equal sets count once, by their smallest id.
-2. In each list the members are paired with its smallest id only. Pairs that
-   pass the estimate from their union's sketch are verified on the full sets;
-   what they link makes components.
+2. In each list the members are paired with one of them only, the hub: the one
+   whose retained values are the most common altogether, which of many copies
+   with changes is the one with the fewest. Pairs that pass the estimate from
+   their union's sketch are verified on the full sets; what they link makes
+   components.
 3. What may still be missing is a link between two components. In each list the
    members outside its largest component meet those of other components.
-   Lists of over ``LONG_LIST`` members are left out here, except for documents
-   that retain so many values of long lists that a partner could hide in them.
-   Those meet in lists of two neighbouring retained values.
+   Lists of over ``LONG_LIST`` members are left out here. A partner can hide in
+   them only from a document that retains ``AT_LEAST`` of their values. Such
+   documents meet once more, in the lists of all shingles, in each document's
+   rarest fifth: sets that share four fifths share one of those, for certain.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import Words, byte_prefix, mix, slices, word_prefix
@@ -36,6 +38,11 @@ PERCENT = 80
 KEEP = 48
 AT_LEAST = 20
 LONG_LIST = 64
+# Turns of pairing members of long lists with other hubs. They only spare work:
+# what they don't link is compared in full afterwards.
+STAR_TURNS = 2
+# Sets compared at once where a component is larger than this.
+BLOCK_SETS = 128
 
 _SIGN = np.uint64(1 << 63)
 
@@ -98,13 +105,19 @@ def close_sizes(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int, keep: int) -> DataFrame:
-    """The pairs (a, b) that are links: union sketch first, then the full sets."""
+def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The full sets of the documents in ``ids``, their texts picked in the scan."""
+    chosen = docs.join(hint_small(ids.select("doc_id")), "doc_id", "left_semi")
+    return chosen.mapInArrow(whole_sets(words), "doc_id long, shingles array<long>")
+
+
+def likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> DataFrame:
+    """The pairs (a, b) that the sketches of their unions let through, with sizes."""
     left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, keep)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    likely = saved(
+    return saved(
         pairs.join(left, "a")
         .join(right, "b")
         .filter(close_sizes(F.col("n_a"), F.col("n_b"), percent))
@@ -112,18 +125,45 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, p
         .select("a", "b", "n_a", "n_b"),
         "likely",
     )
-    ids = saved(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
-    sets = (
-        docs.join(hint_small(ids), "doc_id", "left_semi")
-        .mapInArrow(whole_sets(words), "doc_id long, shingles array<long>")
-    )
+
+
+def members_of(pairs: DataFrame) -> DataFrame:
+    return saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+
+
+def verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links by their full sets."""
     both = F.size(F.array_intersect("x", "y"))
-    return (
+    found = (
         likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         .filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
         .select("a", "b")
     )
+    return saved(found, "links")
+
+
+def main_components(entries: DataFrame) -> DataFrame:
+    """The largest component of each list that has several: ``value`` and ``main``."""
+    by_component = entries.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
+    main = by_component.groupBy("value").agg(
+        F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
+    )
+    return saved(main.filter("parts > 1").drop("parts"), "lists")
+
+
+def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Members outside their list's largest component, with one of its members.
+
+    Which one differs from list to list and turn to turn.
+    """
+    open_ = entries.join(main_components(entries), "value")
+    inside = F.col("component") == F.col("main")
+    hubs = open_.filter(inside).groupBy("value").agg(
+        F.min_by("doc_id", F.xxhash64("doc_id", "value", F.lit(turn))).alias("hub")
+    )
+    pairs = open_.filter(~inside).join(saved(hubs, "hubs"), "value")
+    return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
 def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -133,12 +173,7 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     the list's largest component, so a list in one component gives no pair, and
     a list with a large component few.
     """
-    by_component = entries.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = by_component.groupBy("value").agg(
-        F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-    )
-    mixed = saved(main.filter("parts > 1").drop("parts"), "lists")
-    open_ = entries.join(mixed, "value")
+    open_ = entries.join(main_components(entries), "value")
     one = open_.filter("component != main").select(
         "value", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hot").alias("hot_a"), F.col("component").alias("c_a"), "main"
     )
@@ -161,6 +196,95 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Documents of each ``target`` in rows of about ``BLOCK_SETS`` sets, as ``name``."""
+    counts = rows.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n_blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
+    return (
+        rows.join(counts, "target")
+        .join(sets, "doc_id")
+        .groupBy("target", block.alias(f"{name}_block"))
+        .agg(F.collect_list("doc_id").alias(f"{name}_ids"), F.collect_list("shingles").alias(f"{name}_sets"))
+    )
+
+
+def compare_blocks(percent: int):
+    """For each document of one block, a link to the other block if there is any."""
+
+    def run(batches):
+        for batch in batches:
+            out_a, out_b = [], []
+            for i in range(batch.num_rows):
+                x_ids, y_ids = (batch.column(c)[i].values.to_numpy() for c in ("x_ids", "y_ids"))
+                x_sets, y_sets = (batch.column(c)[i].values for c in ("x_sets", "y_sets"))
+                sizes = np.diff(x_sets.offsets.to_numpy())
+                values = x_sets.flatten().to_numpy()
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], np.repeat(np.arange(len(x_ids)), sizes)[order]
+                linked = np.full(len(x_ids), -1)
+                bounds = y_sets.offsets.to_numpy() - y_sets.offsets[0].as_py()
+                flat = y_sets.flatten().to_numpy()
+                for j in range(len(y_ids)):
+                    y = flat[bounds[j] : bounds[j + 1]]
+                    first, last = np.searchsorted(values, y, "left"), np.searchsorted(values, y, "right")
+                    n = last - first
+                    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(x_ids))
+                    linked[100 * both >= percent * (sizes + len(y) - both)] = j
+                hit = linked >= 0
+                out_a.extend(x_ids[hit].tolist())
+                out_b.extend(y_ids[linked[hit]].tolist())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def links_to_large(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of outsiders with large components, and the entries of all others.
+
+    Where a component holds many of the hidden documents, pairs of its members
+    with each outsider that shares a list would be as many as their product.
+    Instead blocks of outsiders meet blocks of members, sets and all, and one
+    link for each outsider and block leaves the task.
+    """
+    members = placed.select("doc_id", "component").distinct()
+    large = members.groupBy("component").count().filter(f"count > {BLOCK_SETS}").select(F.col("component").alias("target"))
+    large = saved(large, "large")
+    inside = members.withColumnRenamed("component", "target").join(large, "target").select("target", "doc_id")
+    touched = placed.withColumnRenamed("component", "target").join(large, "target").select("target", "value").distinct()
+    is_large = large.select(F.col("target").alias("component"), F.lit(True).alias("large"))
+    marked = saved(placed.join(is_large, "component", "left"), "marked")
+    # Two large components meet once, at the smaller one's label.
+    apart = F.when(F.col("large"), F.col("component") > F.col("target")).otherwise(F.col("component") != F.col("target"))
+    outside = saved(marked.join(touched, "value").filter(apart).select("target", "doc_id").distinct(), "outside")
+    met = blocks(outside, sets, "x").join(blocks(inside, sets, "y"), "target")
+    links = met.select("x_ids", "x_sets", "y_ids", "y_sets").mapInArrow(compare_blocks(percent), "a long, b long")
+    return saved(links, "links"), marked.filter("large is null").drop("large")
+
+
+def in_components(entries: DataFrame, reached: DataFrame) -> DataFrame:
+    """``entries`` with ``component``: an id without links is its own."""
+    joined = entries.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return joined.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def rarest_shingles(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Lists over the shingles of ``chosen``: of each set the rarest, one more than a link may lack."""
+    entries = saved(sets.select("doc_id", F.explode("shingles").alias("value")), "entries")
+    counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
+    listed = entries.join(saved(counts.filter("members > 1"), "lists"), "value", "left")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("members", F.lit(1)), "value"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = (
+        listed.withColumn("rank", rank)
+        .filter("members is not null")
+        .join(chosen, "doc_id")
+        .filter(F.col("rank") <= most)
+        .select("value", "doc_id", "n", "hot")
+    )
+    return saved(rare, "rare")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
     """Components of documents that are near duplicates.
 
@@ -185,44 +309,57 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     equal = saved(equal.filter("first_id < doc_id"), "equal")
     originals = saved(signed.filter("n_shingles > 0").join(equal, "doc_id", "left_anti"), "originals")
 
-    # Lists of two members or more.
+    # Lists of two members or more; weight: how common a document's values are.
     entries = originals.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
-    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub"))
+    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
     listed = saved(entries.join(saved(lists.filter("members > 1"), "lists"), "value"), "listed")
+    is_long = F.col("members") > LONG_LIST
+    common = saved(
+        listed.groupBy("doc_id").agg(
+            F.count_if(is_long).alias("hot"), F.sum(F.floor(F.log2("members"))).alias("weight")
+        ),
+        "common",
+    )
+    weighed = listed.join(common.select("doc_id", "weight"), "doc_id")
+    hubs = weighed.groupBy("value").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
+    with_hub = listed.join(saved(hubs, "hubs"), "value")
 
     stars = (
-        listed.filter("doc_id != hub")
+        with_hub.filter("doc_id != hub")
         .groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
         .agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n"))
         .filter(F.col("lists") >= F.least(F.lit(4), needed(F.col("n"), percent)))
         .select("a", "b")
     )
-    links = saved(verified(stars, originals, texts, words, percent, keep), "links")
+    likely = likely_pairs(stars, originals, percent, keep)
+    links = verified(likely, sets_of(members_of(likely), texts, words), percent)
     reached = connected_components(links)
 
-    is_long = F.col("members") > LONG_LIST
-    hot = listed.groupBy("doc_id").agg(F.count_if(is_long).alias("hot"))
-    state = (
-        hot.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "hot", F.coalesce("component", "doc_id").alias("component"))
-    )
-    state = saved(state, "state")
-    short = listed.filter(~is_long).join(state, "doc_id").select("value", "doc_id", "n", "hot", "component")
-    by_value = cross_pairs(short, percent).filter(
+    hidden = originals.join(common, "doc_id").filter(F.col("hot") >= needed(F.col("n_shingles"), percent))
+    hidden = saved(hidden.select("doc_id", F.col("n_shingles").alias("n"), "hot"), "hidden")
+    hidden_sets = saved(sets_of(hidden, texts, words), "sets")
+    rare = rarest_shingles(hidden_sets, hidden, percent)
+    for turn in range(STAR_TURNS):
+        stars = star_pairs(in_components(rare, reached), turn)
+        links = verified(likely_pairs(stars, originals, percent, keep), hidden_sets, percent)
+        if links.isEmpty():
+            break
+        labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        reached = connected_components(labels.union(links))
+
+    short = listed.filter(~is_long).join(common.select("doc_id", "hot"), "doc_id")
+    by_value = cross_pairs(in_components(short.select("value", "doc_id", "n", "hot"), reached), percent).filter(
         F.col("lists") >= F.greatest(F.lit(1), needed(F.col("n"), percent) - F.col("hot"))
     )
-    hidden = originals.join(state, "doc_id").filter(F.col("hot") >= needed(F.col("n_shingles"), percent))
-    neighbours = F.expr("transform(slice(sketch, 2, size(sketch)), (v, i) -> xxhash64(sketch[i], v))")
-    hidden = hidden.select(
-        F.explode(neighbours).alias("value"), "doc_id", F.col("n_shingles").alias("n"), "hot", "component"
-    )
-    by_two = cross_pairs(hidden, percent)
-    rest = by_value.select("a", "b").union(by_two.select("a", "b")).distinct()
-    more = verified(rest, originals, texts, words, percent, keep)
+    to_large, others = links_to_large(in_components(rare, reached), hidden_sets, percent)
+    by_shingle = cross_pairs(others, percent)
+    rest = by_value.select("a", "b").union(by_shingle.select("a", "b")).distinct()
+    likely = likely_pairs(rest, originals, percent, keep)
+    more = verified(likely, sets_of(members_of(likely), texts, words), percent)
     # Components are joined by links between their labels and between equal sets.
     labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
     sets = equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    whole = connected_components(saved(labels.union(more).union(sets), "links"))
+    whole = connected_components(saved(labels.union(more).union(to_large).union(sets), "links"))
 
     sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     component = F.coalesce("component", "doc_id")
