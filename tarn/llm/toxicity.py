@@ -23,10 +23,12 @@ from tarn.llm.linear import bounded_sample, descend, sigmoid
 from tarn.llm.rolling import Words, byte_prefix, mix, slices
 
 # Labelled rows that the chain is fitted on at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 FOLDS = 3
 # Features that a model keeps, those that tell the category most surely.
 FEATURES = 3_000
+# Texts of the sample that must have a feature for it to be looked at.
+SEEN_IN = 3
 PREFIX_BYTES = 6
 THRESHOLD = 0.5
 # Abusive words, which give weak labels for the first categories.
@@ -91,17 +93,19 @@ class Model:
         return score + earlier @ self.earlier + self.constant
 
 
-def fit(rows: np.ndarray, hashes: np.ndarray, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
-    """A logistic model from the rows of ``use``, on the surest features."""
-    known = use[rows]
-    vocabulary, column = np.unique(hashes[known], return_inverse=True)
-    row = rows[known]
+def fit(vocabulary, row, column, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
+    """A logistic model from the rows of ``use``, on the surest features.
+
+    Row ``row[i]`` has the feature ``vocabulary[column[i]]``.
+    """
+    known = use[row]
+    row, column = row[known], column[known]
     total = np.bincount(column, minlength=len(vocabulary))
     positive = np.bincount(column, label[row], minlength=len(vocabulary))
     n, n_pos = use.sum(), label[use].sum()
     p, q = (positive + 0.5) / (n_pos + 1), (total - positive + 0.5) / (n - n_pos + 1)
     sure = np.abs(np.log(p / q)) / np.sqrt(1 / (positive + 0.5) + 1 / (total - positive + 0.5))
-    sure[total < 3] = 0
+    sure[total < SEEN_IN] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
     chosen = chosen[sure[chosen] > 1]
     number = np.full(len(vocabulary), -1)
@@ -129,8 +133,15 @@ def fit_chain(sample: pa.Table) -> list[Model]:
     """One model for each category, each fed the earlier ones' log-odds out of fold."""
     n = len(sample)
     parts = [np.frombuffer(f, np.uint64) for f in sample.column("features").to_pylist()]
-    rows = np.repeat(np.arange(n), [len(p) for p in parts])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in parts])
     hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    vocabulary, times = np.unique(hashes, return_counts=True)
+    vocabulary = vocabulary[times >= SEEN_IN]
+    # Most features are in one text only; they go before anything is copied.
+    column = np.searchsorted(vocabulary, hashes)
+    frequent = np.append(vocabulary, np.uint64(0))[column] == hashes
+    row, column, hashes = row[frequent], column[frequent].astype(np.int32), hashes[frequent]
     abusive = sample.column("n_abusive").to_numpy()
     labels = {
         "abusive": abusive > 0,
@@ -142,13 +153,13 @@ def fit_chain(sample: pa.Table) -> list[Model]:
     chain = []
     for category in CATEGORIES:
         label = labels[category].astype(float)
-        chain.append(fit(rows, hashes, earlier, label, np.ones(n, bool)))
+        chain.append(fit(vocabulary, row, column, earlier, label, np.ones(n, bool)))
         out_of_fold = np.zeros(n)
         for k in range(FOLDS):
             held = fold == k
             if held.any() and not held.all():
-                model = fit(rows, hashes, earlier, label, ~held)
-                out_of_fold[held] = model.log_odds(n, rows, hashes, earlier)[held]
+                model = fit(vocabulary, row, column, earlier, label, ~held)
+                out_of_fold[held] = model.log_odds(n, row, hashes, earlier)[held]
         earlier = np.column_stack((earlier, np.clip(out_of_fold, -6, 6)))
     return chain
 
