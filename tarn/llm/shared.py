@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 # A list of this many 8-byte ids is about 16 MB as a broadcast.
 BROADCAST_ROWS = 1_000_000
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_folder: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this library, as ``--py-files`` would; once a session."""
+    """Give the executors this library, as ``--py-files`` would; once a session.
+
+    Rows with whole texts are wide: unless the session has its own setting, Arrow
+    batches get fewer of them than Spark's default of 10,000.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).parents[1]

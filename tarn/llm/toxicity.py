@@ -23,7 +23,7 @@ from tarn.llm.linear import bounded_sample, descend, sigmoid
 from tarn.llm.rolling import Words, byte_prefix, mix, slices
 
 # Labelled rows that the chain is fitted on at most.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 FOLDS = 3
 # Features that a model keeps, those that tell the category most surely.
 FEATURES = 3_000
