@@ -1,5 +1,5 @@
 """Column expressions shared by the operators."""
 
-from tarn.functions.exact import exact_sum
+from tarn.functions.exact import rounded_sum
 
-__all__ = ["exact_sum"]
+__all__ = ["rounded_sum"]

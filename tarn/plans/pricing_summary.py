@@ -12,17 +12,19 @@ from tarn.sources import read_table
 
 SHIPPED_BY = datetime(2000, 9, 2)
 
-PRICING_SUMMARY_SQL = f"""
+# Written apart from the plan: its own date, and the precision that the operator states.
+PRICING_SUMMARY_SQL = """
 SELECT l_returnflag,
        l_linestatus,
        CAST(sum(CAST(l_quantity AS DECIMAL(18, 6))) AS DOUBLE) AS sum_qty,
-       CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 2))
-                      * (1 - CAST(l_discount AS DECIMAL(18, 2)))), 2)
+       CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 6))
+                      * (1 - CAST(l_discount AS DECIMAL(18, 6)))), 2)
             AS DOUBLE) AS sum_disc_price,
-       round(avg(l_discount), 4) AS avg_disc,
+       CAST(round(CAST(sum(CAST(l_discount AS DECIMAL(18, 6))) AS DECIMAL(38, 22))
+                  / count(l_discount), 4) AS DOUBLE) AS avg_disc,
        count(*) AS count_order
 FROM lineitem
-WHERE l_shipdate <= TIMESTAMP '{SHIPPED_BY}'
+WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00'
 GROUP BY l_returnflag, l_linestatus
 """
 

@@ -3,8 +3,12 @@ from __future__ import annotations
 import re
 from datetime import datetime
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tarn.operators import summarize_pricing
@@ -138,3 +142,75 @@ def test_one_shuffle_after_partial_aggregation(spark):
         "Scan parquet",
     ]
     assert not re.search(r"Sort|Join|Python|Window|Single", tree)
+
+
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def both_ways(spark, duck, tmp_path, rows):
+    """The one group of ``rows`` from Spark and from the SQL."""
+    day = datetime(1999, 1, 1)
+    path = str(tmp_path / "lineitem.parquet")
+    lines(spark, *(("A", "F", 1.0, price, disc, day) for price, disc in rows)).write.parquet(path)
+    (got,) = pricing_summary(spark, str(tmp_path)).collect()
+    (expected,) = duck(PRICING_SUMMARY_SQL, lineitem=f"{path}/*.parquet").fetchall()
+    assert tuple(got) == expected
+    return got
+
+
+@pytest.mark.parametrize(
+    ("rows", "disc_price", "mean"),
+    [
+        ([(100.0, 0.05)] * 198 + [(100.0, 0.04)], 18906.0, 0.0499),
+        ([(100.0, 0.05)] * 199 + [(100.0, 0.04)], 19001.0, 0.05),
+        ([(10.005, 0.0)] * 3, 30.02, 0.0),
+        ([(100.0, 0.125)] * 3, 262.5, 0.125),
+    ],
+)
+def test_values_at_rounding_steps(spark, duck, tmp_path, ansi, rows, disc_price, mean):
+    got = both_ways(spark, duck, tmp_path, rows)
+    assert (got.sum_disc_price, got.avg_disc) == (disc_price, mean)
+
+
+def test_discounts_too_large_for_the_average_raise(spark, ansi):
+    df = lines(spark, ("A", "F", 1.0, 1.0, 1e16, datetime(1999, 1, 1)))
+    with pytest.raises(SparkRuntimeException, match="summarize_pricing"):
+        summarize_pricing(df, CUTOFF).collect()
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from("AN"),
+            st.one_of(st.none(), st.integers(-(10**9), 10**9)),
+            st.one_of(st.none(), st.integers(0, 125)),
+        ),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_equals_decimal_arithmetic(spark, rows):
+    """Prices in tenths of a cent and discounts in thousandths, against fractions."""
+    day = datetime(1999, 1, 1)
+    df = lines(
+        spark,
+        *((f, "F", 1.0, p if p is None else p / 1000, d if d is None else d / 1000, day) for f, p, d in rows),
+    )
+    for got in summarize_pricing(df, CUTOFF).collect():
+        mine = [(p, d) for f, p, d in rows if f == got.l_returnflag]
+        prices = [Fraction(p, 1000) * (1 - Fraction(d, 1000)) for p, d in mine if None not in (p, d)]
+        discounts = [Fraction(d, 1000) for _, d in mine if d is not None]
+        assert got.sum_disc_price == (half_up(sum(prices), 2) if prices else None)
+        assert got.avg_disc == (half_up(sum(discounts) / len(discounts), 4) if discounts else None)
+
+
+def half_up(value: Fraction, places: int) -> Decimal:
+    scaled = abs(value) * 10**places
+    whole = int(scaled + Fraction(1, 2))
+    return Decimal(whole if value >= 0 else -whole).scaleb(-places)
