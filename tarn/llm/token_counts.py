@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.shared import saved
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's public encoder splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,4 +101,5 @@ def limit_table(histogram: DataFrame, group: int = LENGTHS_PER_GROUP) -> DataFra
 
 def token_count_table(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """``limit_table`` of all rows of ``docs`` (``doc_id``, ``text``; others are ignored)."""
-    return limit_table(length_histogram(token_lengths(docs, ranks_path)))
+    # Written, so that its two uses encode the texts once.
+    return limit_table(saved(length_histogram(token_lengths(docs, ranks_path)), "lengths"))
