@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import Words, byte_prefix, mix, slices, word_prefix
@@ -43,6 +43,8 @@ LONG_LIST = 64
 STAR_TURNS = 2
 # Sets compared at once where a component is larger than this.
 BLOCK_SETS = 128
+# Entries of the table of shingle frequencies: 2 MB as a broadcast.
+FREQUENCY_BUCKETS = 1 << 18
 
 _SIGN = np.uint64(1 << 63)
 
@@ -268,21 +270,62 @@ def in_components(entries: DataFrame, reached: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def bucket_of(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) % np.uint64(FREQUENCY_BUCKETS)).astype(np.int64)
+
+
+def count_buckets(batches):
+    """How many shingles fall into each bucket, one row for each that has any."""
+    total = np.zeros(FREQUENCY_BUCKETS, np.int64)
+    for batch in batches:
+        values = batch.column("shingles").flatten().to_numpy()
+        total += np.bincount(bucket_of(values), minlength=FREQUENCY_BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """Shingles of all ``sets`` in each bucket; its size is fixed."""
+    rows = sets.select("shingles").mapInArrow(count_buckets, "bucket long, n long")
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def pick_rarest(counts, percent: int):
+    def run(batches):
+        frequency = counts.value
+        for batch in batches:
+            first = []
+            for shingles in batch.column("shingles"):
+                values = shingles.values.to_numpy()
+                order = np.lexsort((values, frequency[bucket_of(values)]))
+                # One more than a link may lack.
+                most = len(values) - -(-len(values) * percent // 100) + 1
+                first.append(values[order[:most]])
+            rows = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
+            values = np.concatenate(first) if first else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values), *(batch.column(c).take(rows) for c in ("doc_id", "n", "hot"))],
+                names=["value", "doc_id", "n", "hot"],
+            )
+
+    return run
+
+
 def rarest_shingles(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """Lists over the shingles of ``chosen``: of each set the rarest, one more than a link may lack."""
-    entries = saved(sets.select("doc_id", F.explode("shingles").alias("value")), "entries")
-    counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
-    listed = entries.join(saved(counts.filter("members > 1"), "lists"), "value", "left")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("members", F.lit(1)), "value"))
-    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = (
-        listed.withColumn("rank", rank)
-        .filter("members is not null")
-        .join(chosen, "doc_id")
-        .filter(F.col("rank") <= most)
-        .select("value", "doc_id", "n", "hot")
-    )
-    return saved(rare, "rare")
+    """Lists over the shingles of ``chosen``: of each set the rarest, one more than a link may lack.
+
+    Two linked sets share one of their first shingles in any order that is the
+    same for all sets. Here it is that of a frequency table of fixed size, so
+    that each task finds them by itself and only they leave it.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets))
+    rare = sets.join(chosen, "doc_id").select("doc_id", "n", "hot", "shingles")
+    rare = saved(rare.mapInArrow(pick_rarest(counts, percent), "value long, doc_id long, n long, hot long"), "rarest")
+    lists = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
+    return saved(rare.join(saved(lists, "lists"), "value", "left_semi"), "rare")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
