@@ -20,7 +20,7 @@ into all its pairs:
    Lists of over ``LONG_LIST`` members are left out here. A partner can hide in
    them only from a document that retains ``AT_LEAST`` of their values. Such
    documents meet once more, in the lists of all shingles, in each document's
-   rarest fifth: sets that share four fifths share one of those, for certain.
+   rarest fifth: sets that share four fifths share some of those, for certain.
 """
 
 from __future__ import annotations
@@ -103,6 +103,21 @@ def needed(n: Column, percent: int) -> Column:
     return F.least(F.lit(AT_LEAST), F.ceil(n * percent / 100)).cast("long")
 
 
+def is_hidden(n: Column, hot: Column, percent: int) -> Column:
+    """Whether long lists alone may hold all that a link needs."""
+    return hot >= needed(n, percent)
+
+
+def first_needed(n: Column, m: Column, percent: int) -> Column:
+    """Rarest shingles that a link shares at least, of those that ``pick_rarest`` takes.
+
+    A link shares ``percent`` of ``100 + percent`` of both sizes. What it shares
+    beyond the shingles taken from both lies in the rest of one of the sets.
+    """
+    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
+    return (F.ceil((n + m) * percent / (100 + percent)) - rest).cast("long")
+
+
 def close_sizes(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -171,6 +186,10 @@ def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
 def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of list members of different components, with how many lists have them.
 
+    Also the bounds on that for pairs that short lists must show (``least``;
+    null if both are hidden, so that all shingles show them) and for rarest
+    shingles (``least_first``).
+
     ``entries``: value, doc_id, n, hot, component. One side of a pair is outside
     the list's largest component, so a list in one component gives no pair, and
     a list with a large component few.
@@ -185,16 +204,19 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     # Where both are outside the largest component, once is enough.
     once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
     pairs = one.join(two, "value").filter(once & (F.col("c_a") != F.col("c_b")))
+    n_a, n_b, hot_a, hot_b = (F.col(c) for c in ("n_a", "n_b", "hot_a", "hot_b"))
+    both_hidden = is_hidden(n_a, hot_a, percent) & is_hidden(n_b, hot_b, percent)
+    shown = F.greatest(F.lit(1), needed(F.least(n_a, n_b), percent) - F.least(hot_a, hot_b))
     return (
-        pairs.filter(close_sizes(F.col("n_a"), F.col("n_b"), percent))
+        pairs.filter(close_sizes(n_a, n_b, percent))
         .select(
             F.least("a", "b").alias("a"),
             F.greatest("a", "b").alias("b"),
-            F.least("n_a", "n_b").alias("n"),
-            F.least("hot_a", "hot_b").alias("hot"),
+            F.when(~both_hidden, shown).alias("least"),
+            first_needed(n_a, n_b, percent).alias("least_first"),
         )
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n"), F.min("hot").alias("hot"))
+        .agg(F.count(F.lit(1)).alias("lists"), F.min("least").alias("least"), F.min("least_first").alias("least_first"))
     )
 
 
@@ -378,7 +400,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = verified(likely, sets_of(members_of(likely), texts, words), percent)
     reached = connected_components(links)
 
-    hidden = originals.join(common, "doc_id").filter(F.col("hot") >= needed(F.col("n_shingles"), percent))
+    hidden = originals.join(common, "doc_id").filter(is_hidden(F.col("n_shingles"), F.col("hot"), percent))
     hidden = saved(hidden.select("doc_id", F.col("n_shingles").alias("n"), "hot"), "hidden")
     hidden_sets = saved(sets_of(hidden, texts, words), "sets")
     rare = rarest_shingles(hidden_sets, hidden, percent)
@@ -391,11 +413,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         reached = connected_components(labels.union(links))
 
     short = listed.filter(~is_long).join(common.select("doc_id", "hot"), "doc_id")
-    by_value = cross_pairs(in_components(short.select("value", "doc_id", "n", "hot"), reached), percent).filter(
-        F.col("lists") >= F.greatest(F.lit(1), needed(F.col("n"), percent) - F.col("hot"))
-    )
+    by_value = cross_pairs(in_components(short.select("value", "doc_id", "n", "hot"), reached), percent)
+    by_value = by_value.filter("lists >= least")
     to_large, others = links_to_large(in_components(rare, reached), hidden_sets, percent)
-    by_shingle = cross_pairs(others, percent)
+    by_shingle = cross_pairs(others, percent).filter("lists >= least_first")
     rest = by_value.select("a", "b").union(by_shingle.select("a", "b")).distinct()
     likely = likely_pairs(rest, originals, percent, keep)
     more = verified(likely, sets_of(members_of(likely), texts, words), percent)
