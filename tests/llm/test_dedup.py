@@ -129,6 +129,19 @@ def test_large_groups_of_near_copies(docs_of):
     assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
 
 
+def test_large_groups_of_differing_sizes(docs_of):
+    """Pairs about the bound whose members are hidden in long lists, of other sizes."""
+    base = [f"w{i}" for i in range(50)]
+    texts = []
+    for i in range(200):
+        changed = base + [f"y{k}" for k in range(i % 11)]
+        for k in range(i % 5):
+            changed[(11 * i + 17 * k) % 50] = f"x{i % 40}_{k}"
+        texts.append(" ".join(changed))
+    docs = docs_of(texts)
+    assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
+
+
 def test_exact_groups(docs_of):
     docs = docs_of(["a b", "ab", "a  b", None, "", "c", "A b"])
     rows = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
