@@ -45,6 +45,8 @@ STAR_TURNS = 2
 BLOCK_SETS = 128
 # Entries of the table of shingle frequencies: 2 MB as a broadcast.
 FREQUENCY_BUCKETS = 1 << 18
+# Entries of it in one row, where tables of tasks are added up.
+SLICE_BUCKETS = 256
 
 _SIGN = np.uint64(1 << 63)
 
@@ -296,23 +298,44 @@ def bucket_of(values: np.ndarray) -> np.ndarray:
     return (values.view(np.uint64) % np.uint64(FREQUENCY_BUCKETS)).astype(np.int64)
 
 
+def as_slices(total: np.ndarray) -> pa.RecordBatch:
+    """The table in rows of ``SLICE_BUCKETS`` counts, those that have any."""
+    table = total.reshape(-1, SLICE_BUCKETS)
+    used = np.flatnonzero(table.any(axis=1))
+    ends = pa.array((np.arange(len(used) + 1) * SLICE_BUCKETS).astype(np.int32))
+    counts = pa.ListArray.from_arrays(ends, pa.array(table[used].ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(used), counts], names=["slice", "counts"])
+
+
+def sum_of_slices(batches) -> np.ndarray:
+    total = np.zeros(FREQUENCY_BUCKETS, np.int64)
+    for batch in batches:
+        counts = batch.column("counts").flatten().to_numpy().reshape(-1, SLICE_BUCKETS)
+        np.add.at(total.reshape(-1, SLICE_BUCKETS), batch.column("slice").to_numpy(), counts)
+    return total
+
+
 def count_buckets(batches):
-    """How many shingles fall into each bucket, one row for each that has any."""
+    """How many shingles fall into each bucket."""
     total = np.zeros(FREQUENCY_BUCKETS, np.int64)
     for batch in batches:
         values = batch.column("shingles").flatten().to_numpy()
         total += np.bincount(bucket_of(values), minlength=FREQUENCY_BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+    yield as_slices(total)
+
+
+def add_slices(batches):
+    yield as_slices(sum_of_slices(batches))
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """Shingles of all ``sets`` in each bucket; its size is fixed."""
-    rows = sets.select("shingles").mapInArrow(count_buckets, "bucket long, n long")
-    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    """Shingles of all ``sets`` in each bucket; its size is fixed.
+
+    Tasks send slices of their tables, which others add up as they arrive.
+    """
+    kind = "slice long, counts array<long>"
+    parts = sets.select("shingles").mapInArrow(count_buckets, kind)
+    return sum_of_slices(parts.repartition("slice").mapInArrow(add_slices, kind).toArrow().to_batches())
 
 
 def pick_rarest(counts, percent: int):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm.exact_dedup import exact_duplicates
-from tarn.llm.minhash_dedup import near_duplicates
+from tarn.llm.minhash_dedup import FREQUENCY_BUCKETS, bucket_counts, bucket_of, near_duplicates
 from tarn.llm.queries import op5_minhash_near_dedup, op8_substring_dedup, op9_suffix_array_dedup
 from tarn.llm.shared import connected_components
 from tarn.llm.substring_dedup import remove_repeated_windows
@@ -142,6 +143,13 @@ def test_large_groups_of_differing_sizes(docs_of):
     assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
 
 
+def test_frequency_table_counts_every_shingle(spark, docs_of):
+    sets = spark.range(2000).repartition(5).selectExpr("transform(sequence(1, 20), i -> xxhash64(id % 70, i)) AS shingles")
+    values = np.concatenate([np.array(r.shingles) for r in sets.collect()])
+    assert (bucket_counts(sets) == np.bincount(bucket_of(values), minlength=FREQUENCY_BUCKETS)).all()
+    assert not bucket_counts(sets.limit(0)).any()
+
+
 def test_exact_groups(docs_of):
     docs = docs_of(["a b", "ab", "a  b", None, "", "c", "A b"])
     rows = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
