@@ -6,8 +6,9 @@ the log-odds that the earlier models of the chain gave. Those are learnt from
 predictions out of fold: in training, a row's earlier probabilities come from
 models that did not see the row, as they do when new texts are scored.
 
-The chain is fitted on a bounded sample of labelled rows in numpy; scoring runs
-over all documents in one pass without a shuffle.
+The chain is fitted on a bounded sample of labelled rows in numpy. Which features
+enough texts of the sample have is counted on Spark, and the driver gets those and
+their numbers only. Scoring runs over all documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from pyspark.sql import functions as F
 
 from tarn.llm.linear import bounded_sample, descend, sigmoid
 from tarn.llm.rolling import Words, byte_prefix, mix, slices
+from tarn.llm.shared import saved
 
 # Labelled rows that the chain is fitted on at most.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 12_000
 FOLDS = 3
 # Features that a model keeps, those that tell the category most surely.
 FEATURES = 3_000
 # Texts of the sample that must have a feature for it to be looked at.
 SEEN_IN = 3
+# Features that a task holds before it passes on how often it saw each.
+HELD_FEATURES = 1_000_000
+# Texts of the sample whose features are worked on at once.
+BLOCK_TEXTS = 500
 PREFIX_BYTES = 6
 THRESHOLD = 0.5
 # Abusive words, which give weak labels for the first categories.
@@ -93,29 +99,102 @@ class Model:
         return score + earlier @ self.earlier + self.constant
 
 
-def fit(vocabulary, row, column, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
-    """A logistic model from the rows of ``use``, on the surest features.
+def feature_counts(batches):
+    """How many texts of the task have each feature."""
 
-    Row ``row[i]`` has the feature ``vocabulary[column[i]]``.
-    """
-    known = use[row]
-    row, column = row[known], column[known]
-    total = np.bincount(column, minlength=len(vocabulary))
-    positive = np.bincount(column, label[row], minlength=len(vocabulary))
+    def flush(held):
+        features, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), pa.array(times)], names=["feature", "times"])
+
+    held, size = [], 0
+    for batch in batches:
+        for features in batch.column("features").to_pylist():
+            held.append(np.frombuffer(features, np.uint64))
+            size += len(held[-1])
+            if size >= HELD_FEATURES:
+                yield flush(held)
+                held, size = [], 0
+    if size:
+        yield flush(held)
+
+
+def common_features(known: DataFrame) -> np.ndarray:
+    """The features that at least ``SEEN_IN`` texts have, sorted."""
+    counts = known.select("features").mapInArrow(feature_counts, "feature long, times long")
+    counts = counts.groupBy("feature").agg(F.sum("times").alias("times")).filter(F.col("times") >= SEEN_IN)
+    return np.sort(counts.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))
+
+
+def number_features(vocabulary):
+    """Texts with the places of their features in the vocabulary, without the others."""
+
+    def run(batches):
+        features = vocabulary.value
+        for batch in batches:
+            numbers = []
+            for own in batch.column("features").to_pylist():
+                own = np.frombuffer(own, np.uint64)
+                at = np.searchsorted(features, own)
+                numbers.append(at[np.append(features, np.uint64(0))[at] == own].astype(np.int32).tobytes())
+            columns = [batch.column(c) for c in ("doc_id", "toxic", "n_abusive")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.binary())], names=["doc_id", "toxic", "n_abusive", "numbers"])
+
+    return run
+
+
+class Texts:
+    """The feature numbers of the sampled texts, one text after the other."""
+
+    def __init__(self, vocabulary: np.ndarray, numbers: list[bytes]):
+        self.vocabulary = vocabulary
+        self.ends = np.concatenate(([0], np.cumsum([len(n) // 4 for n in numbers]))).astype(np.int64)
+        self.columns = np.frombuffer(b"".join(numbers), np.int32)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def blocks(self):
+        """Text and feature number of every pair, some texts at a time."""
+        for first in range(0, len(self), BLOCK_TEXTS):
+            bounds = self.ends[first : first + BLOCK_TEXTS + 1]
+            row = np.repeat(np.arange(first, first + len(bounds) - 1), np.diff(bounds))
+            yield row, self.columns[bounds[0] : bounds[-1]]
+
+    def log_odds(self, model: Model, earlier: np.ndarray) -> np.ndarray:
+        weights = np.zeros(len(self.vocabulary))
+        weights[np.searchsorted(self.vocabulary, model.hashes)] = model.weights
+        score = np.zeros(len(self))
+        for row, column in self.blocks():
+            score += np.bincount(row, weights[column], minlength=len(self))
+        return score + earlier @ model.earlier + model.constant
+
+
+def fit(texts: Texts, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
+    """A logistic model from the texts of ``use``, on the surest features."""
+    size = len(texts.vocabulary)
+    total, positive = np.zeros(size, np.int64), np.zeros(size)
+    for row, column in texts.blocks():
+        known = use[row]
+        row, column = row[known], column[known]
+        total += np.bincount(column, minlength=size)
+        positive += np.bincount(column, label[row], minlength=size)
     n, n_pos = use.sum(), label[use].sum()
     p, q = (positive + 0.5) / (n_pos + 1), (total - positive + 0.5) / (n - n_pos + 1)
     sure = np.abs(np.log(p / q)) / np.sqrt(1 / (positive + 0.5) + 1 / (total - positive + 0.5))
     sure[total < SEEN_IN] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
     chosen = chosen[sure[chosen] > 1]
-    number = np.full(len(vocabulary), -1)
+    number = np.full(size, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    column = number[column]
-    row, column = row[column >= 0], column[column >= 0]
     order = np.flatnonzero(use)
-    place = np.zeros(len(use), np.int64)
+    place = np.zeros(len(use), np.int32)
     place[order] = np.arange(len(order))
-    row = place[row]
+    pairs = []
+    for row, column in texts.blocks():
+        column = number[column]
+        wanted = use[row] & (column >= 0)
+        pairs.append((place[row[wanted]], column[wanted]))
+    row, column = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (place[:0], number[:0])
     y, extra, k = label[order], earlier[order], len(chosen)
 
     def gradient(w):
@@ -126,22 +205,13 @@ def fit(vocabulary, row, column, earlier: np.ndarray, label: np.ndarray, use: np
         return slope
 
     w = descend(gradient, k + extra.shape[1] + 1, 150, 0.1)
-    return Model(vocabulary[chosen], w[:k], w[k:-1], float(w[-1]))
+    return Model(texts.vocabulary[chosen], w[:k], w[k:-1], float(w[-1]))
 
 
-def fit_chain(sample: pa.Table) -> list[Model]:
+def fit_chain(vocabulary: np.ndarray, sample: pa.Table) -> list[Model]:
     """One model for each category, each fed the earlier ones' log-odds out of fold."""
     n = len(sample)
-    parts = [np.frombuffer(f, np.uint64) for f in sample.column("features").to_pylist()]
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in parts])
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    del parts
-    vocabulary, times = np.unique(hashes, return_counts=True)
-    vocabulary = vocabulary[times >= SEEN_IN]
-    # Most features are in one text only; they go before anything is copied.
-    column = np.searchsorted(vocabulary, hashes)
-    frequent = np.append(vocabulary, np.uint64(0))[column] == hashes
-    row, column, hashes = row[frequent], column[frequent].astype(np.int32), hashes[frequent]
+    texts = Texts(vocabulary, sample.column("numbers").to_pylist())
     abusive = sample.column("n_abusive").to_numpy()
     labels = {
         "abusive": abusive > 0,
@@ -153,13 +223,13 @@ def fit_chain(sample: pa.Table) -> list[Model]:
     chain = []
     for category in CATEGORIES:
         label = labels[category].astype(float)
-        chain.append(fit(vocabulary, row, column, earlier, label, np.ones(n, bool)))
+        chain.append(fit(texts, earlier, label, np.ones(n, bool)))
         out_of_fold = np.zeros(n)
         for k in range(FOLDS):
             held = fold == k
             if held.any() and not held.all():
-                model = fit(vocabulary, row, column, earlier, label, ~held)
-                out_of_fold[held] = model.log_odds(n, row, hashes, earlier)[held]
+                model = fit(texts, earlier, label, ~held)
+                out_of_fold[held] = texts.log_odds(model, earlier)[held]
         earlier = np.column_stack((earlier, np.clip(out_of_fold, -6, 6)))
     return chain
 
@@ -204,9 +274,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     sample = F.broadcast(bounded_sample(labelled, sample_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = texts.join(sample, "doc_id").select("doc_id", "toxic", "text")
-    table = known.mapInArrow(extract, f"doc_id {kind}, toxic long, n_abusive long, features binary").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    chain = fit_chain(table)
+    known = saved(known.mapInArrow(extract, f"doc_id {kind}, toxic long, n_abusive long, features binary"), "features")
+    vocabulary = common_features(known)
+    numbered = number_features(spark.sparkContext.broadcast(vocabulary))
+    table = known.mapInArrow(numbered, f"doc_id {kind}, toxic long, n_abusive long, numbers binary").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("numbers", "ascending")])
+    chain = fit_chain(vocabulary, table)
     if not len(table):
         threshold = 2.0
     columns = ", ".join(f"p_{c} double" for c in CATEGORIES)

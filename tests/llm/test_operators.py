@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tarn.llm.piece_viterbi import Encoder, decode_pieces, encode_pieces, read_m
 from tarn.llm.quality import quality_scores
 from tarn.llm.queries import URL_RULES
 from tarn.llm.token_counts import limit_table, token_count_table
-from tarn.llm.toxicity import toxicity
+from tarn.llm.toxicity import SEEN_IN, common_features, toxicity
 from tarn.llm.url_cascade import Cascade, filter_urls
 from tests.conftest import TESTDATA
 from tests.llm.conftest import PASSAGE, TEXTS, words
@@ -133,6 +134,24 @@ def test_toxicity_finds_abuse_in_unlabelled_documents(spark, docs_of):
     assert toxicity(docs_of([]), labels).count() == 0
 
 
+def test_toxicity_learns_from_12000_labelled_rows(spark):
+    """A form in five labelled texts only, all of them after the first 6,000 of the sample."""
+    ids = [r[0] for r in spark.range(9_000).orderBy(F.xxhash64("id"), "id").collect()]
+    rare = set(ids[6_000:6_005])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i in rare)) for i in ids], "doc_id long, toxic long")
+    text = lambda i: "zzqual person" if i in rare else "stupid person" if i % 2 == 0 else "kind person"
+    docs = spark.createDataFrame([(i, text(i)) for i in ids] + [(9_000, "zzqual"), (9_001, "kind")], "doc_id long, text string")
+    rows = {r.doc_id: r.toxic for r in toxicity(docs, labels).filter("doc_id >= 9000").collect()}
+    assert rows == {9_000: True, 9_001: False}
+
+
+def test_features_of_the_sample_are_counted_whole(spark):
+    sets = [np.unique(np.arange(i % 7, 40, dtype=np.uint64) * np.uint64(i % 5 + 2**62)) for i in range(20)]
+    known = spark.createDataFrame([(s.tobytes(),) for s in sets], "features binary").repartition(6)
+    counts = Counter(int(x) for s in sets for x in s)
+    assert common_features(known).tolist() == sorted(x for x, n in counts.items() if n >= SEEN_IN)
+
+
 def test_quality_on_held_out_labels(spark, docs_of):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
