@@ -11,6 +11,8 @@ threshold is retrieved. Then question and answer are compared word by word.
 A text is cut into chunks as long as the longest item, and a passage is a chunk
 with the next one: any stretch of an item's length lies whole in a passage. A
 benchmark larger than an index is taken part by part, each against all texts.
+Weights and the longest item are those of the whole benchmark in every part, so
+that where it is cut changes nothing. Equal rows of it are one item.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import Words, byte_prefix, slices
+from tarn.llm.shared import saved
 
 THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.5
@@ -62,26 +66,41 @@ def grams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class Statistics:
+    """Of all rows of the benchmark that have words; ``seen``: rows with a term."""
+
+    n_items: int
+    average: float
+    longest: int
+    seen: dict[bytes, int]
+
+
 class Index:
-    """Impacts of terms on items, and their maxima over blocks of items."""
+    """Impacts of terms on items, and their maxima over blocks of items.
+
+    ``items`` are item_id, text and how often the benchmark has them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [item for item, _ in items]
-        self.parts = [question_and_answer(text) for _, text in items]
+    def __init__(self, items: list[tuple[int, str, int]], whole: Statistics):
+        self.ids = [item for item, _, _ in items]
+        self.times = [times for _, _, times in items]
+        self.parts = [question_and_answer(text) for _, text, _ in items]
         words = [question + answer for question, answer in self.parts]
-        self.span = max(map(len, words), default=0) or 1
+        self.span = whole.longest or 1
         counts = [Counter(w) for w in words]
-        seen = Counter(term for count in counts for term in count)
-        average = sum(map(len, words)) / max(len(words), 1)
-        vocabulary = sorted(seen)
+        vocabulary = sorted({term for count in counts for term in count})
         number = {term: t for t, term in enumerate(vocabulary)}
         self.impact = np.zeros((len(vocabulary), len(items)), np.float32)
         for i, count in enumerate(counts):
+            length = K1 * (1 - B + B * len(words[i]) / whole.average)
+            weights = {}
             for term, times in count.items():
-                idf = math.log(1 + (len(items) - seen[term] + 0.5) / (seen[term] + 0.5))
-                length = K1 * (1 - B + B * len(words[i]) / average)
-                self.impact[number[term], i] = idf * times * (K1 + 1) / (times + length)
-        self.impact /= np.maximum(self.impact.sum(axis=0), 1e-9)
+                idf = math.log(1 + (whole.n_items - whole.seen[term] + 0.5) / (whole.seen[term] + 0.5))
+                weights[term] = idf * times * (K1 + 1) / (times + length)
+            total = max(math.fsum(weights.values()), 1e-9)
+            for term, weight in weights.items():
+                self.impact[number[term], i] = weight / total
         self.starts = np.arange(0, max(len(items), 1), BLOCK_ITEMS)
         self.maxima = np.maximum.reduceat(self.impact, self.starts, axis=1) if items and vocabulary else self.impact
         hashes = hash_terms(vocabulary)
@@ -109,10 +128,11 @@ class Index:
         passage, terms = np.divmod(keys, len(self.hashes))
         first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         last = np.append(first[1:], len(keys))
-        bound = np.add.reduceat(self.maxima[terms], first, axis=0)
+        # Sums of 32-bit impacts in 64 bits don't depend on which other items are near.
+        bound = np.add.reduceat(self.maxima[terms], first, axis=0, dtype=np.float64)
         for p, block in zip(*np.nonzero(bound >= threshold), strict=True):
             begin = self.starts[block]
-            scores = self.impact[terms[first[p] : last[p]], begin : begin + BLOCK_ITEMS].sum(axis=0)
+            scores = self.impact[terms[first[p] : last[p]], begin : begin + BLOCK_ITEMS].sum(axis=0, dtype=np.float64)
             row, at = divmod(int(passage[first[p]]), wide)
             for i in np.flatnonzero(scores >= threshold):
                 yield row, at, int(begin + i), float(scores[i])
@@ -129,7 +149,7 @@ def find(index, threshold: float, question: float, answer: float, gram: int):
     def run(batches):
         known = index.value
         wanted = [(grams(q, gram), set(a)) for q, a in known.parts]
-        names = ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"]
+        names = ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap", "times"]
         for batch in batches:
             found: dict[tuple[int, int], tuple] = {}
             for first, _, data, offsets in slices(batch.column("text")):
@@ -156,6 +176,7 @@ def find(index, threshold: float, question: float, answer: float, gram: int):
                     pa.array([known.ids[item] for (_, item), _ in hits], pa.int64()),
                     pa.array([-hit[1] * known.span for _, hit in hits], pa.int64()),
                     *(pa.array([hit[k] for _, hit in hits], pa.float64()) for k in (0, 2, 3)),
+                    pa.array([known.times[item] for (_, item), _ in hits], pa.int64()),
                 ],
                 names=names,
             )
@@ -168,6 +189,36 @@ def grams_like(words: list[bytes], wanted: set[tuple[bytes, ...]]) -> set[tuple[
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def item_terms(batches):
+    """The distinct terms of each item, and as a row without term its words."""
+    for batch in batches:
+        parts, terms, rows, n_words = [], [], [], []
+        for part, text, times in zip(*(batch.column(c).to_pylist() for c in ("part", "text", "times")), strict=True):
+            words = word_list(text)
+            # Sorted: a task that runs again gives the same rows.
+            distinct = [None, *sorted(set(words))] if words else []
+            parts.extend([part] * len(distinct))
+            terms.extend(distinct)
+            rows.extend([times] * len(distinct))
+            n_words.extend([len(words)] * len(distinct))
+        columns = [pa.array(parts, pa.int64()), pa.array(terms, pa.binary()), pa.array(rows, pa.int64()), pa.array(n_words, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "term", "times", "n_words"])
+
+
+def term_statistics(items: DataFrame) -> tuple[Statistics, DataFrame]:
+    """The benchmark's totals, and of each part's terms how many rows of all parts have them."""
+    terms = items.mapInArrow(item_terms, "part long, term binary, times long, n_words long")
+    of_part = terms.groupBy("part", "term").agg(
+        F.sum("times").alias("times"), F.sum(F.col("times") * F.col("n_words")).alias("n_words"), F.max("n_words").alias("longest")
+    )
+    of_part = saved(of_part, "terms")
+    total = of_part.filter("term is null").agg(F.sum("times"), F.sum("n_words"), F.max("longest")).first()
+    n_items, n_words, longest = (x or 0 for x in total)
+    seen = of_part.filter("term is not null").groupBy("term").agg(F.sum("times").alias("seen"))
+    seen = saved(of_part.select("part", "term").join(seen, "term"), "seen")
+    return Statistics(n_items, n_words / max(n_items, 1), longest, {}), seen
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -187,20 +238,30 @@ def contaminated(
     ``doc_id``, ``item_id``, ``first_word`` (of the best passage), ``score``,
     ``question_overlap``, ``answer_overlap``. Texts and items that are null or
     without words match nothing; rows with a null id are treated like others.
-    Rows that repeat are reported again. Empty tables give an empty result.
+    Rows that repeat are reported again. Weights come from all rows of
+    ``benchmark``, however many ``index_items`` an index takes. Empty tables give
+    an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     names = "item_id long, first_word long, score double, question_overlap double, answer_overlap double"
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    items = saved(items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")), "items")
     parts = max(1, -(-items.count() // index_items))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    whole, seen = term_statistics(items)
     result = None
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        mine = items.filter(F.col("part") == part).select("item_id", "text", "times")
         rows = sorted((tuple(r) for r in mine.collect() if word_list(r["text"])), key=str)
         if rows:
-            index = spark.sparkContext.broadcast(Index(rows))
-            pairs = texts.mapInArrow(find(index, threshold, question, answer, gram), schema)
+            terms = seen.filter(F.col("part") == part).select("term", "seen").collect()
+            statistics = replace(whole, seen={bytes(r["term"]): r["seen"] for r in terms})
+            index = spark.sparkContext.broadcast(Index(rows, statistics))
+            pairs = texts.mapInArrow(find(index, threshold, question, answer, gram), f"{schema}, times long")
             result = pairs if result is None else result.unionByName(pairs)
-    return spark.createDataFrame([], schema) if result is None else result
+    if result is None:
+        return spark.createDataFrame([], schema)
+    # A row for each row of the benchmark that the item stands for.
+    return result.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")

@@ -116,6 +116,27 @@ def test_decontamination_finds_items_wherever_they_lie(spark, docs_of):
     assert contaminated(docs_of(texts), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_does_not_depend_on_how_the_benchmark_is_cut(spark, docs_of):
+    """Partly copied items about the threshold, items of differing lengths, repeated rows."""
+    pick = np.random.default_rng(3)
+    items = [(i, " ".join(f"t{int(w)}" for w in pick.zipf(1.3, 12 + i % 40) % 300)) for i in range(60)]
+    benchmark = spark.createDataFrame([*items, items[7], items[7], (None, items[9][1])], "item_id long, text string")
+    texts = []
+    for _, text in items:
+        for share in (0.5, 0.6, 0.7, 0.8):
+            found = text.split()
+            cut = int(share * len(found))
+            texts.append(" ".join(found[:cut] + [f"o{k}" for k in range(len(found) - cut)]))
+    texts += [text for _, text in items]
+    docs = docs_of(texts)
+    find = lambda n: sorted((tuple(r) for r in contaminated(docs, benchmark, question=0.1, answer=0, index_items=n).collect()), key=repr)
+    whole = find(1024)
+    assert Counter(r[1] for r in whole if r[0] == 247)[7] == 3
+    assert any(r[3] < 0.9 for r in whole)
+    for index_items in (30, 7):
+        assert find(index_items) == whole
+
+
 def test_decontamination_matches_whole_items_on_the_table(spark):
     docs, benchmark = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     joined = lambda text: b" " + b" ".join(word_list(text)) + b" "
