@@ -10,7 +10,9 @@ non-negative estimator). The prior is estimated from the same two samples: the
 largest share of positives that is consistent with how often each sample reaches
 high scores, on a part that the scores were not fitted on.
 
-The model is additive over measures of a text's form, each cut into bins.
+The model is additive over measures of a text's form, each cut into bins. Weights
+are fitted on bounded samples; where bins are cut and how many documents reach
+high scores is counted over all of them. Measures are taken once and written.
 """
 
 from __future__ import annotations
@@ -19,17 +21,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.linear import bounded_sample, descend, sigmoid
 from tarn.llm.rolling import IS_SPACE, Words, byte_prefix, slices
+from tarn.llm.shared import saved
 
 # Documents of each sample that the model is fitted on at most.
 SAMPLE_ROWS = 12_000
 # Bins are finer at the ends, where texts of unusual form are.
 QUANTILES = (0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.86, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99)
 THRESHOLD = 0.7
+# Counts of a measure's values: 1,024 for each power of two from the least one told from 0.
+LEAST, POWERS, FRACTION_BITS = 2.0**-14, 24, 10
+CODES = POWERS << FRACTION_BITS
+# Tables of counts that the driver adds up.
+SLOTS = 16
 MEASURES = (
     "log_words",
     "mean_word_bytes",
@@ -115,20 +124,73 @@ def extract(batches):
     for batch in batches:
         found = [measures(data, offsets) for _, _, data, offsets in slices(batch.column("text"))]
         values = np.concatenate(found) if found else np.zeros((0, len(MEASURES)))
-        columns = [batch.column("doc_id"), batch.column("positive"), *map(pa.array, values.T)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "positive", *MEASURES])
+        columns = [batch.column("doc_id"), *map(pa.array, values.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *MEASURES])
+
+
+def values_of(table) -> np.ndarray:
+    return np.column_stack([table.column(m).to_numpy() for m in MEASURES])
+
+
+def counts_over(measured: DataFrame, places, size: int) -> np.ndarray:
+    """How often ``places``, given the values of some rows, names each of ``size`` places.
+
+    A task sends one table of what it counted; equal slots are added on Spark.
+    """
+
+    def packed(slot, counts):
+        at = np.flatnonzero(counts)
+        return [slot], [at.astype(np.int32).tobytes()], [counts[at].tobytes()]
+
+    def count(batches):
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            counts += np.bincount(places(values_of(batch)).ravel(), minlength=size)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, packed(TaskContext.get().partitionId() % SLOTS, counts))], names=["slot", "at", "n"])
+
+    def total(table):
+        counts = np.zeros(size, np.int64)
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
+            counts[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return counts
+
+    def add(table):
+        return pa.table(dict(zip(("slot", "at", "n"), packed(table.column("slot")[0].as_py(), total(table)), strict=True)))
+
+    schema = "slot long, at binary, n binary"
+    return total(measured.select(*MEASURES).mapInArrow(count, schema).groupBy("slot").applyInArrow(add, schema).toArrow())
+
+
+def code_places(values: np.ndarray) -> np.ndarray:
+    """The place of each value's code among those of all measures."""
+    shift = 52 - FRACTION_BITS
+    bits = np.ascontiguousarray(values, np.float64).view(np.int64) >> shift
+    codes = np.clip(bits - (np.float64(LEAST).view(np.int64) >> shift), 0, CODES - 1)
+    return codes + np.arange(values.shape[1]) * CODES
+
+
+def quantile_edges(measured: DataFrame) -> list[np.ndarray]:
+    """The quantiles of each measure over all rows, to a tenth of a percent of the value."""
+    shift = 52 - FRACTION_BITS
+    counts = counts_over(measured, code_places, len(MEASURES) * CODES).reshape(len(MEASURES), CODES)
+    edges = []
+    for own in np.cumsum(counts, axis=1):
+        code = np.searchsorted(own, np.multiply(QUANTILES, own[-1])) if own[-1] else np.zeros(0, np.int64)
+        # The largest value of the code: bins hold whole codes.
+        above = (code + 1 + (np.float64(LEAST).view(np.int64) >> shift)) << shift
+        edges.append(np.unique((above - 1).view(np.float64)))
+    return edges
 
 
 @dataclass
 class Additive:
-    """A weight for each bin of each measure; bins between quantiles of a sample."""
+    """A weight for each bin of each measure; bins between quantiles of all texts."""
 
     edges: list[np.ndarray]
     weights: np.ndarray
 
     @classmethod
-    def over(cls, values: np.ndarray) -> Additive:
-        edges = [np.unique(np.quantile(column, QUANTILES)) for column in values.T] if len(values) else [np.zeros(0)] * len(MEASURES)
+    def over(cls, edges: list[np.ndarray]) -> Additive:
         return cls(edges, np.zeros(sum(len(e) + 1 for e in edges) + 1))
 
     def indicators(self, values: np.ndarray) -> np.ndarray:
@@ -169,28 +231,26 @@ def fit(model: Additive, positive: np.ndarray, unlabelled: np.ndarray, prior: fl
     return Additive(model.edges, descend(gradient, size, 300, 0.05))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled.
+def estimate_prior(model: Additive, positive: np.ndarray, unlabelled: DataFrame) -> float:
+    """The share of positives among the unlabelled, all of which are counted.
 
-    Half of each sample tells the two apart. On the other half, the share of
+    ``model`` tells the two apart and was fitted on other rows. The share of
     unlabelled scores above a cut is at least the prior times that of positives,
     so every cut bounds the prior from above; the least bound counts.
     """
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    model = fit(Additive.over(unlabelled), positive[:half_p], unlabelled[:half_u], 0.5)
-    high_p, high_u = np.sort(model.log_odds(positive[half_p:])), np.sort(model.log_odds(unlabelled[half_u:]))
+    high = np.sort(model.log_odds(positive))
     # Cuts that leave most positives above them: elsewhere chance rules the ratio.
-    cuts = np.quantile(high_p, np.linspace(0, 0.5, 100))
-    reach_p = 1 - np.searchsorted(high_p, cuts) / len(high_p)
-    reach_u = 1 - np.searchsorted(high_u, cuts) / len(high_u)
-    return float(np.clip((reach_u / reach_p).min(), 0.05, 0.95))
+    cuts = np.quantile(high, np.linspace(0, 0.5, 100))
+    reach_p = 1 - np.searchsorted(high, cuts) / len(high)
+    passed = counts_over(unlabelled, lambda values: np.searchsorted(cuts, model.log_odds(values), side="right"), len(cuts) + 1)
+    reach_u = np.cumsum(passed[::-1])[::-1][1:] / max(passed.sum(), 1)
+    return float(np.clip((reach_u / reach_p).min(), 1 / (passed.sum() + 1), 1))
 
 
 def score_with(model, threshold: float):
     def run(batches):
         for batch in batches:
-            odds = [model.value.log_odds(measures(data, offsets)) for _, _, data, offsets in slices(batch.column("text"))]
-            score = sigmoid(np.concatenate(odds) if odds else np.zeros(0))
+            score = sigmoid(model.value.log_odds(values_of(batch)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 names=["doc_id", "score", "predicted"],
@@ -210,7 +270,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and
     ``quality``; other columns are ignored. Trusted positives are documents with
     ``quality`` 1, unlabelled ones any; both samples have at most ``sample_rows``
-    documents and none of those held out. Gives ``doc_id``, ``held_out``,
+    documents and none of those held out; bins and the prior come from all documents
+    that are not held out. Gives ``doc_id``, ``held_out``,
     ``score`` (0 to 1) and ``predicted`` (1 if the score is at least
     ``threshold``), one row for each input row. A null text is empty, and an
     empty text is scored by its measures like any other. Rows without id are
@@ -219,26 +280,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     learnt = ~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
-    positives = labels.filter(learnt & (F.col("quality") == 1)).select("doc_id").distinct()
-    positives = bounded_sample(positives, sample_rows).withColumn("positive", F.lit(True))
-    unlabelled = bounded_sample(texts.filter(learnt).select("doc_id"), sample_rows).withColumn("positive", F.lit(False))
-    # Two lists of at most sample_rows ids each.
-    sample = F.broadcast(positives.unionByName(unlabelled))
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{m} double" for m in MEASURES)
-    known = texts.join(sample, "doc_id").select("doc_id", "positive", "text")
-    table = known.mapInArrow(extract, f"doc_id {kind}, positive boolean, {columns}").toArrow()
+    measured = saved(texts.mapInArrow(extract, f"doc_id {kind}, {columns}"), "measures")
+    every = measured.filter(learnt)
+    positives = labels.filter(learnt & (F.col("quality") == 1)).select("doc_id").distinct()
+    positives = bounded_sample(positives, sample_rows).withColumn("positive", F.lit(True))
+    unlabelled = bounded_sample(every.select("doc_id"), sample_rows).withColumn("positive", F.lit(False))
+    # Two lists of at most sample_rows ids each. The prior is estimated with halves.
+    sample = positives.unionByName(unlabelled).withColumn("half", F.xxhash64("doc_id", F.lit(7)) % 2 == 0)
+    table = measured.join(F.broadcast(sample), "doc_id").toArrow()
     table = table.sort_by([(c, "ascending") for c in table.column_names])
-    values = np.column_stack([table.column(m).to_numpy() for m in MEASURES])
-    is_positive = table.column("positive").to_numpy()
+    values = values_of(table)
+    is_positive, half = table.column("positive").to_numpy(), table.column("half").to_numpy()
     good, web = values[is_positive], values[~is_positive]
-    # In random order: the prior is estimated on halves.
-    random = np.random.default_rng(7)
-    good, web = good[random.permutation(len(good))], web[random.permutation(len(web))]
-    model = Additive.over(web)
-    if len(good) >= 2 and len(web) >= 2:
-        model = fit(model, good, web, estimate_prior(good, web))
-    scored = texts.mapInArrow(
+    model = Additive.over(quantile_edges(every))
+    first, rest, other = values[is_positive & half], values[is_positive & ~half], values[~is_positive & half]
+    if len(first) and len(rest) and len(other):
+        fitted = F.broadcast(unlabelled.filter(F.xxhash64("doc_id", F.lit(7)) % 2 == 0).select("doc_id"))
+        prior = estimate_prior(fit(model, first, other, 0.5), rest, every.join(fitted, "doc_id", "left_anti"))
+        model = fit(model, good, web, prior)
+    scored = measured.mapInArrow(
         score_with(spark.sparkContext.broadcast(model), threshold), f"doc_id {kind}, score double, predicted int"
     )
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tarn.llm.decontamination import contaminated, word_list
 from tarn.llm.piece_viterbi import Encoder, decode_pieces, encode_pieces, read_model, MODEL
+from tarn.llm import quality
 from tarn.llm.quality import quality_scores
 from tarn.llm.queries import URL_RULES
 from tarn.llm.token_counts import limit_table, token_count_table
@@ -182,6 +183,29 @@ def test_quality_on_held_out_labels(spark, docs_of):
     assert [r.score for r in empty] == [0.5, 0.5]
 
 
+def test_quality_bins_and_prior_come_from_all_documents(docs_of, monkeypatch):
+    """One text in fifty is good, and 200 of the unlabelled are sampled."""
+    pick = np.random.default_rng(5)
+    good = lambda: " ".join(pick.choice(["plain", "words", "of", "a", "calm", "text"], 30)) + "."
+    junk = lambda: " ".join(pick.choice(["$$$", "BUY", "@@", "99", "NOW!"], 30))
+    docs = docs_of([good() if i % 50 == 0 else junk() for i in range(4_000)])
+    labels = docs.filter("doc_id % 50 = 0").selectExpr("doc_id", "1 AS quality")
+    priors, edges = [], []
+    whole, cut = quality.estimate_prior, quality.quantile_edges
+    monkeypatch.setattr(quality, "estimate_prior", lambda *a: priors.append(whole(*a)) or priors[0])
+    monkeypatch.setattr(quality, "quantile_edges", lambda d: edges.append((cut(d), d.toPandas())) or edges[0][0])
+    rows = quality_scores(docs, labels, sample_rows=200).collect()
+    assert 0.01 < priors[0] < 0.03
+    assert len(edges[0][1]) > 2_900
+    for name, found in zip(quality.MEASURES, edges[0][0], strict=True):
+        exact = np.quantile(edges[0][1][name], quality.QUANTILES, method="inverted_cdf")
+        assert found == pytest.approx(np.unique(found[np.searchsorted(found, exact)]))
+        assert all(np.min(np.abs(found - x)) <= 0.001 * x + quality.LEAST * 1.001 for x in exact)
+    assert len(rows) == 4_000
+    assert min(r.score for r in rows if r.doc_id % 50 == 0) > max(r.score for r in rows if r.doc_id % 50)
+    assert all(r.predicted == (r.doc_id % 50 == 0) for r in quality_scores(docs, labels).collect())
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark):
     folder = f"{TESTDATA}/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
