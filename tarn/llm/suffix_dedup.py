@@ -1,9 +1,9 @@
-"""Repeated byte strings, found through longest-previous-factor arrays.
+"""Repeated byte strings, found by sorting suffixes.
 
-The suffixes that a bucket compares are sorted, equal ones by document. The
-longest previous factor of a suffix is the longest prefix that it shares with a
-suffix of an earlier document, found at the previous or the next smaller
-document in suffix order; where it reaches ``width`` bytes, they are removed.
+The suffixes that a bucket compares are sorted by their first ``width`` bytes,
+equal ones by document. Whether the longest previous factor of a suffix reaches
+``width`` bytes is whether an earlier document is in its run of equal ones; then
+these bytes are removed. The factors' lengths themselves are not computed.
 A suffix array over the whole corpus would move every suffix. Here only those
 are sorted whose next ``width`` bytes hold an anchor that another document holds
 too. Anchors are the strings of ``ANCHOR`` bytes whose hash is least among those
