@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -14,12 +15,13 @@ from tarn.llm.decontamination import contaminated, word_list
 from tarn.llm.piece_viterbi import Encoder, decode_pieces, encode_pieces, read_model, MODEL
 from tarn.llm import quality
 from tarn.llm.quality import quality_scores
-from tarn.llm.queries import URL_RULES
-from tarn.llm.token_counts import limit_table, token_count_table
+from tarn.llm.queries import URL_RULES, op2_token_counts
+from tarn.llm.token_counts import PATTERN, RANKS, limit_table, read_ranks, token_count_table
 from tarn.llm.toxicity import SEEN_IN, common_features, toxicity
 from tarn.llm.url_cascade import Cascade, filter_urls
 from tests.conftest import TESTDATA
 from tests.llm.conftest import PASSAGE, TEXTS, words
+from tests.llm.test_dedup import brute_near
 
 FOLDER = f"{TESTDATA}/sf0.01"
 
@@ -42,6 +44,18 @@ def test_token_counts_cover_every_row(docs_of):
     assert token_count_table(docs_of([])).count() == 0
 
 
+def test_token_counts_match_a_plain_encoder_on_the_table(spark):
+    folder = f"{TESTDATA}/sf0.001"
+    encoder = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    lengths = [len(encoder.encode_ordinary(text or "")) for text in texts]
+    rows = {r.context_limit: r for r in op2_token_counts(spark, folder).collect()}
+    assert {limit: r.n_docs for limit, r in rows.items()} == Counter(lengths)
+    for limit, r in rows.items():
+        assert r.docs_over == sum(n > limit for n in lengths) and r.total_tokens == sum(lengths)
+        assert r.truncated_tokens == sum(min(n, limit) for n in lengths)
+
+
 def test_pieces_round_trip(docs_of):
     texts = [*TEXTS, "a  b", " lead", "trail ", "x\n\n y", "▁mark▁", "\U0001f600 é\x00", "\n"]
     rows = decode_pieces(encode_pieces(docs_of(texts))).collect()
@@ -217,3 +231,39 @@ def test_pipeline_keeps_clean_documents_and_columns(spark):
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() == docs.count()
     assert {r.doc_id for r in whole.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_match_brute_force(spark, docs_of):
+    """On planted documents and on the table: whom the stages after the first reject."""
+    folder = f"{TESTDATA}/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    benchmark = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    joined = lambda text: b" " + b" ".join(word_list(text or "")) + b" "
+    stages = dict(corpus_pipeline.STAGES)
+    kept_by = lambda name, table: {r.doc_id for r in stages[name](spark, table, folder).select("doc_id").collect()}
+    rows = docs.collect()
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", "", r.text or ""), []).append((-len(r.text or ""), r.doc_id))
+    assert kept_by("exact_dedup", docs) == {min(group)[1] for group in groups.values()}
+
+    near = brute_near([(r.doc_id, (r.text or "").encode()) for r in sorted(rows)], 5)
+    assert kept_by("near_dedup", docs) == {doc for doc, (_, _, kept) in near.items() if kept}
+
+    planted = spark.createDataFrame([*rows, (10_000, f"Lead in. {benchmark[0]} And on.", "en", "x", 1)], docs.schema)
+    held = {r.doc_id for r in planted.collect() for item in benchmark if joined(item) in joined(r.text)}
+    assert 10_000 in held
+    assert kept_by("decontamination", planted) == {r.doc_id for r in planted.collect()} - held
+
+
+def test_pipeline_drops_planted_toxic_texts_and_keeps_clean_ones(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    ids = {r.doc_id: r.toxic for r in labels.collect()}
+    known = [r for r in sorted(docs.collect()) if r.doc_id in ids]
+    toxic, clean = ([r for r in known if ids[r.doc_id] == k][:10] for k in (1, 0))
+    planted = [(100_000 + i, *r[1:]) for i, r in enumerate(toxic + clean)]
+    table = spark.createDataFrame([*docs.collect(), *planted], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, table, FOLDER).filter("doc_id >= 100000").collect()}
+    assert len(toxic) == len(clean) == 10
+    assert kept == {100_000 + i for i in range(10, 20)}
