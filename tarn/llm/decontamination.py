@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.rolling import Words, byte_prefix, slices
+from tarn.llm.rolling import Words, slices
 from tarn.llm.shared import saved
 
 THRESHOLD = 0.6
@@ -142,7 +142,7 @@ def hash_terms(terms: list[bytes]) -> np.ndarray:
     """The hashes that ``Words`` gives the same words within texts."""
     data = np.frombuffer(b" ".join(terms), np.uint8)
     words = Words(data, np.array([0, len(data)]), IS_WORD[data])
-    return words.hashes(byte_prefix(data, fold=True))
+    return words.hashes(data, fold=True)
 
 
 def find(index, threshold: float, question: float, answer: float, gram: int):
@@ -156,7 +156,7 @@ def find(index, threshold: float, question: float, answer: float, gram: int):
                 words = Words(data, offsets, IS_WORD[data])
                 rows = words.rows()
                 places = np.arange(len(rows)) - words.first[:-1][rows]
-                hashes = words.hashes(byte_prefix(data, fold=True))
+                hashes = words.hashes(data, fold=True)
                 for row, chunk, item, score in known.candidates(rows, places, hashes, threshold):
                     start = int(words.first[row]) + chunk * known.span
                     end = min(start + 2 * known.span, int(words.first[row + 1]))

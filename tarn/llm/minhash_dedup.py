@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.rolling import Words, byte_prefix, mix, slices, word_prefix
+from tarn.llm.rolling import Words, mix, run_fingerprints, slices
 from tarn.llm.shared import connected_components, earliest_of_copies, hint_small, saved, text_or_empty
 
 WORDS = 5
@@ -51,7 +51,7 @@ SLICE_BUCKETS = 256
 _SIGN = np.uint64(1 << 63)
 
 
-def shingle_sets(texts: pa.Array, words: int):
+def shingle_sets(texts: pa.Array, words: int, lane: int = 0):
     """The sorted distinct shingle hashes of each text; A-Z count as a-z.
 
     A text with fewer words than a shingle has one shingle of all its words, a
@@ -59,11 +59,12 @@ def shingle_sets(texts: pa.Array, words: int):
     """
     for first, last, data, offsets in slices(texts):
         found = Words(data, offsets)
-        prefix = word_prefix(found.hashes(byte_prefix(data, fold=True)))
+        single = found.fingerprints(data, fold=True, lane=lane)
+        runs = run_fingerprints(single, words, lane)
         for i in range(last - first):
             a, b = found.first[i], found.first[i + 1]
-            starts = np.arange(a, max(a + 1, b - words + 1)) if b > a else np.arange(0)
-            yield np.unique(mix(prefix.hashes(starts, np.minimum(starts + words, b))))
+            whole = run_fingerprints(single[a:b], b - a, lane) if a < b < a + words else runs[a : max(a, b - words + 1)]
+            yield np.unique(mix(whole))
 
 
 def as_longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -77,12 +78,13 @@ def sign(words: int, keep: int):
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), words))
+            other = shingle_sets(batch.column("text"), words, lane=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix(s, 1).sum() >> np.uint64(1)) for s in sets], pa.int64()),
-                    pa.array([int(mix(s, 2).sum() >> np.uint64(1)) for s in sets], pa.int64()),
+                    pa.array([int(mix(s, 2).sum() >> np.uint64(1)) for s in other], pa.int64()),
                     as_longs([s[:keep] for s in sets]),
                 ],
                 names=["doc_id", "n_shingles", "set_1", "set_2", "sketch"],

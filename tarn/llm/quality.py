@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.linear import bounded_sample, descend, sigmoid
-from tarn.llm.rolling import IS_SPACE, Words, byte_prefix, slices
+from tarn.llm.rolling import IS_SPACE, Words, slices
 from tarn.llm.shared import saved
 
 # Documents of each sample that the model is fitted on at most.
@@ -89,7 +89,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         seen = np.concatenate(([0], np.cumsum(mask[data])))
         return seen[words.ends] - seen[words.starts]
 
-    hashes = words.hashes(byte_prefix(data, fold=True))
+    hashes = words.hashes(data, fold=True)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
     order = np.lexsort((hashes, rows))

@@ -1,8 +1,13 @@
-"""Hashes of words, word runs and byte strings, for many texts at once in numpy.
+"""Fingerprints of words, word runs and byte strings, for many texts at once in numpy.
 
-A text column arrives as one buffer of bytes with offsets. Sums of random
-values times powers of an odd base, taken modulo 2**64, give the hash of any
-stretch of it by one subtraction, so that no step loops over words in Python.
+A text column arrives as one buffer of bytes with offsets. A fingerprint is a
+polynomial modulo the prime 2**61 - 1: of a word in its pieces of seven bytes, of
+a run of words in the fingerprints of its words. Two different inputs of k
+coefficients agree for at most k of all bases, so that no kind of text collides
+by its structure. Two lanes with bases of their own give 122 bits.
+
+Short windows of bytes, whose candidates are compared byte by byte afterwards,
+have a cheaper hash modulo 2**64.
 """
 
 from __future__ import annotations
@@ -17,8 +22,14 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 19
 
 _BASE_BYTE = np.uint64(0x9E3779B97F4A7C1B)
-_BASE_WORD = np.uint64(0xD1342543DE82EF97)
-_BASE_WORD_2 = np.uint64(0xC2B2AE3D27D4EB4F)
+
+PRIME = np.uint64(2**61 - 1)
+# One base for each lane.
+PIECE_BASES = (0x0B4F3A1C5D7E9263, 0x15C9E27A43B1D80F)
+WORD_BASES = (0x1A6D42F9B3C5E871, 0x0E73B59D1F84A2C7)
+PIECE_BYTES = 7
+# Pieces of a word up to which all words are worked on together.
+LONG_WORD = 16
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -30,8 +41,10 @@ def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(256, dtype=np.uint64), 11)
-_FOLDED_VALUES = _BYTE_VALUES.copy()
-_FOLDED_VALUES[65:91] = _BYTE_VALUES[97:123]
+# A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+_MASKS = np.array([2 ** (8 * n) - 1 for n in range(8)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -52,7 +65,10 @@ def powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Sums up to each position, from which stretches get their hash."""
+    """Sums up to each position, from which short windows of bytes get their hash.
+
+    Not for stretches of 1,024 bytes or more: modulo 2**64 some of them collide.
+    """
 
     def __init__(self, values: np.ndarray, base: np.uint64):
         up, self._down = powers(base, len(values))
@@ -70,15 +86,53 @@ class Prefix:
         return (self._sums[width:] - self._sums[:n]) * self._down[:n]
 
 
-def byte_prefix(data: np.ndarray, fold: bool = False) -> Prefix:
-    """Prefix sums of bytes; with ``fold``, A-Z count as a-z."""
-    return Prefix((_FOLDED_VALUES if fold else _BYTE_VALUES)[data], _BASE_BYTE)
+def byte_prefix(data: np.ndarray) -> Prefix:
+    return Prefix(_BYTE_VALUES[data], _BASE_BYTE)
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Products modulo the prime of values below it, by halves of 31 and 30 bits."""
+    half, rest = np.uint64(31), np.uint64(30)
+    low, quarter = np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+    b = np.asarray(b, np.uint64)
+    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    middle = a_low * b_high + a_high * b_low
+    whole = a_high * b_high * np.uint64(2) + (middle >> rest) + ((middle & quarter) << half) + a_low * b_low
+    return reduced(whole)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit value modulo the prime."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def run_fingerprints(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """The fingerprint of every ``width`` neighbours, by doubling."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    base = WORD_BASES[lane]
+    # ``done`` is a prefix of the bits of ``width``; ``out`` the fingerprints of so many.
+    out, done = values, 1
+    for bit in bin(width)[3:]:
+        power = pow(base, done, int(PRIME))
+        out = reduced(times(out[:-done], power) + out[done:])
+        done *= 2
+        if bit == "1":
+            out = reduced(times(out[:-1], base) + values[done : done + len(out) - 1])
+            done += 1
+    return out[:n]
 
 
-def word_prefix(word_hashes: np.ndarray, second: bool = False) -> Prefix:
-    """Prefix sums of words; the second kind is independent of the first."""
-    base = _BASE_WORD_2 if second else _BASE_WORD
-    return Prefix(mix(word_hashes, 7) if second else word_hashes, base)
+def fingerprint(values: np.ndarray, base: int) -> int:
+    """That of a whole array, by halving it again and again."""
+    while len(values) > 1:
+        if len(values) % 2:
+            values = np.concatenate((np.zeros(1, np.uint64), values))
+        values = reduced(times(values[::2], base) + values[1::2])
+        base = base * base % int(PRIME)
+    return int(values[0]) if len(values) else 0
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +187,34 @@ class Words:
         self.ends = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, prefix: Prefix, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``most`` bytes."""
-        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        return mix(prefix.hashes(self.starts, ends), 3)
+    def fingerprints(self, data: np.ndarray, fold: bool = False, lane: int = 0, most: int | None = None) -> np.ndarray:
+        """That of each word, or of its first ``most`` bytes; with ``fold``, A-Z count as a-z.
+
+        The first coefficient is the length, the others are pieces of seven bytes.
+        """
+        data = FOLDED[data] if fold else data
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        lengths = self.ends - self.starts
+        lengths = lengths if most is None else np.minimum(lengths, most)
+        base, out = PIECE_BASES[lane], lengths.astype(np.uint64)
+        pieces = -(-lengths // PIECE_BYTES)
+        short = np.flatnonzero(pieces <= LONG_WORD)
+        for k in range(int(pieces[short].max()) if len(short) else 0):
+            at = short if k == 0 else short[pieces[short] > k]
+            rest = np.minimum(lengths[at] - k * PIECE_BYTES, PIECE_BYTES)
+            piece = eight[self.starts[at] + k * PIECE_BYTES] & _MASKS[rest]
+            out[at] = reduced(times(out[at], base) + piece)
+        for i in np.flatnonzero(pieces > LONG_WORD):
+            begin, n = int(self.starts[i]), int(lengths[i])
+            at = np.arange(0, n, PIECE_BYTES)
+            piece = eight[begin + at] & _MASKS[np.minimum(n - at, PIECE_BYTES)]
+            out[i] = fingerprint(np.concatenate((np.array([n], np.uint64), piece)), base)
+        return out
+
+    def hashes(self, data: np.ndarray, fold: bool = False, most: int | None = None) -> np.ndarray:
+        """Fingerprints of one lane with their bits spread over 64."""
+        return mix(self.fingerprints(data, fold, most=most), 3)
 
     def rows(self) -> np.ndarray:
         """The text number of each word."""

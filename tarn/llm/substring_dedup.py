@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.repeats import binary_array, groups_of, repeated_stretches, segments_of
-from tarn.llm.rolling import Words, byte_prefix, mix, sliding_min, word_prefix
+from tarn.llm.rolling import Words, mix, run_fingerprints, sliding_min
 
 WINDOW = 20
 
@@ -44,12 +44,11 @@ class WordWindows:
 
     def _grams(self, data, offsets):
         words = Words(data, offsets)
-        hashes = words.hashes(byte_prefix(data))
-        return words, hashes, mix(word_prefix(hashes).rolling(self.block), 1)
+        return words, mix(run_fingerprints(words.fingerprints(data), self.block), 1)
 
     def anchors(self, data, offsets):
         """Rolling hashes of ``block`` words; those at block bounds are the index."""
-        words, _, grams = self._grams(data, offsets)
+        words, grams = self._grams(data, offsets)
         rows = words.rows()[: len(grams)]
         at = np.arange(len(grams))
         inside = at + self.block <= words.first[1:][rows]
@@ -57,7 +56,7 @@ class WordWindows:
         return rows[inside], grams[inside], indexed[inside]
 
     def segments(self, data, offsets, is_shared):
-        words, hashes, grams = self._grams(data, offsets)
+        words, grams = self._grams(data, offsets)
         reach = self.width - self.block + 1
         least = sliding_min(grams, reach)
         n = len(least)
@@ -66,7 +65,7 @@ class WordWindows:
         seen = np.concatenate(([0], np.cumsum(hit)))
         inside = np.arange(n) + self.width <= words.first[1:][rows[:n]]
         at = np.flatnonzero((seen[reach : reach + n] > seen[:n]) & inside)
-        values = window_hashes(hashes, self.width, at)
+        values = window_fingerprints(words, data, self.width)[at]
         begin, windows = segments_of(at, rows, least)
         ends = np.append(begin[1:], len(at))
         key = mix(np.add.reduceat(mix(values[:, 0] ^ mix(values[:, 1])), begin)) if len(at) else values[:, 0]
@@ -89,10 +88,9 @@ class WordWindows:
         return segment[gone], at[gone]
 
 
-def window_hashes(hashes: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """128 bits for each window that starts at ``at``."""
-    one, two = (mix(word_prefix(hashes, k).hashes(at, at + width), k) for k in (False, True))
-    return np.column_stack((one, two))
+def window_fingerprints(words: Words, data: np.ndarray, width: int) -> np.ndarray:
+    """Both lanes of every window of ``width`` words."""
+    return np.column_stack([run_fingerprints(words.fingerprints(data, lane=k), width, k) for k in (0, 1)])
 
 
 def keep_rest(width: int):

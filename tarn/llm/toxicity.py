@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.linear import bounded_sample, descend, sigmoid
-from tarn.llm.rolling import Words, byte_prefix, mix, slices
+from tarn.llm.rolling import Words, mix, slices
 from tarn.llm.shared import saved
 
 # Labelled rows that the chain is fitted on at most.
@@ -50,15 +50,14 @@ IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of every feature of the texts; the word hashes by themselves."""
     words = Words(data, offsets, IS_LETTER[data])
-    prefix = byte_prefix(data, fold=True)
-    whole, start = words.hashes(prefix), mix(words.hashes(prefix, PREFIX_BYTES), 9)
+    whole, start = words.hashes(data, fold=True), mix(words.hashes(data, fold=True, most=PREFIX_BYTES), 9)
     rows = words.rows()
     return np.concatenate((rows, rows)), np.concatenate((whole, start)), whole
 
 
 def hash_words(words: tuple[str, ...]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    return Words(data, np.array([0, len(data)]), IS_LETTER[data]).hashes(byte_prefix(data, fold=True))
+    return Words(data, np.array([0, len(data)]), IS_LETTER[data]).hashes(data, fold=True)
 
 
 def extract(batches):

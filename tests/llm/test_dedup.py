@@ -17,6 +17,7 @@ from tarn.llm.substring_dedup import remove_repeated_windows
 from tarn.llm.suffix_dedup import remove_repeated_strings
 from tests.conftest import TESTDATA
 from tests.llm.conftest import TEXTS, words
+from tests.llm.test_rolling import thue_morse
 
 FOLDER = f"{TESTDATA}/sf0.001"
 
@@ -172,3 +173,14 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     rows = dict(connected_components(links).collect())
     assert set(rows.values()) == {0, 99} and len(rows) == 43
+
+
+def test_long_words_of_equal_structure_are_told_apart(docs_of):
+    """Words that collide in any polynomial modulo a power of two."""
+    texts = []
+    for size in (1024, 4096):
+        texts += [f"{words(19)} {thue_morse(size)}", f"{words(19)} {thue_morse(size, True)}", thue_morse(size), thue_morse(size, True)]
+    docs = docs_of(texts)
+    assert windows(remove_repeated_windows(docs)) == brute_windows(texts_of(docs))
+    assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
+    assert near(near_duplicates(docs)) == brute_near(texts_of(docs), 5)
