@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.decontamination import contaminated
 from tarn.llm.exact_dedup import exact_duplicates
+from tarn.llm.merkle import merkle_manifest
 from tarn.llm.minhash_dedup import near_duplicates
 from tarn.llm.piece_viterbi import decode_pieces, encode_pieces
 from tarn.llm.quality import quality_scores
@@ -77,6 +78,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return merkle_manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # The others have no short SQL; their tests compare them with brute force.
