@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import oracles
 from tarn.llm.decontamination import contaminated
 from tarn.llm.exact_dedup import exact_duplicates
 from tarn.llm.merkle import merkle_manifest
@@ -133,4 +134,5 @@ fits AS (
 SELECT parsed.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)
 """,
+    "op13_merkle_manifest": oracles.OP13,
 }
