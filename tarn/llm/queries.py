@@ -12,6 +12,7 @@ from tarn.llm.merkle import merkle_manifest
 from tarn.llm.minhash_dedup import near_duplicates
 from tarn.llm.piece_viterbi import decode_pieces, encode_pieces
 from tarn.llm.quality import quality_scores
+from tarn.llm.ranked_search import ranked_documents
 from tarn.llm.shared import ship_package
 from tarn.llm.substring_dedup import remove_repeated_windows
 from tarn.llm.suffix_dedup import remove_repeated_strings
@@ -79,6 +80,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return merkle_manifest(table(spark, folder, "documents"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -134,5 +141,6 @@ fits AS (
 SELECT parsed.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)
 """,
+    "op11_ranked_search": oracles.OP11,
     "op13_merkle_manifest": oracles.OP13,
 }
