@@ -10,6 +10,7 @@ from tarn.llm.decontamination import contaminated
 from tarn.llm.exact_dedup import exact_duplicates
 from tarn.llm.merkle import merkle_manifest
 from tarn.llm.minhash_dedup import near_duplicates
+from tarn.llm.parity_join import jaccard_join
 from tarn.llm.piece_viterbi import decode_pieces, encode_pieces
 from tarn.llm.quality import quality_scores
 from tarn.llm.ranked_search import ranked_documents
@@ -85,6 +86,11 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return jaccard_join(table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return merkle_manifest(table(spark, folder, "documents"))
@@ -102,6 +108,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_ranked_search": op11_ranked_search,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -142,5 +149,6 @@ SELECT parsed.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)
 """,
     "op11_ranked_search": oracles.OP11,
+    "op12_ngram_jaccard_join": oracles.OP12,
     "op13_merkle_manifest": oracles.OP13,
 }
