@@ -276,24 +276,34 @@ def crowded_links(
     one, two = (hubs.select("value", F.col("hub").alias(s), F.col("component").alias(f"c_{s}"), F.col("n_hub").alias(f"n_{s}")) for s in "ab")
     # Three times the bound lies between hubs at most, and sizes differ by no more than the distance.
     near = close_sizes(F.col("n_a"), F.col("n_b"), max(0.0, 100 - 300 * far))
-    pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
-    between = overlaps(pairs.select("a", "b").distinct(), sized, texts, words)
+    met = one.join(two, "value").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
+    met = saved(met.select("value", F.col("a").alias("hub_a"), F.col("b").alias("hub_b")), "met")
+    pairs = met.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")).distinct()
+    between = overlaps(pairs, sized, texts, words)
     reached = merged(reached, between.filter(is_link(percent)))
 
-    apart = between.select("a", "b", distance().alias("apart")).filter(F.col("apart") <= 3 * far + SLACK)
-    apart = saved(apart.union(apart.select("b", "a", "apart")), "apart")
+    # Of hubs too far apart no members are near. The others' members meet in the lists that both have.
+    apart = between.select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b"), distance().alias("apart"))
+    met = saved(met.join(apart.filter(F.col("apart") <= 3 * far + SLACK), ["hub_a", "hub_b"]), "apart")
     entries = saved(in_components(entries.drop("component"), reached), "entries")
-    left = entries.select("value", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("off").alias("off_a"), F.col("component").alias("c_a"), F.col("hub").alias("hub_a"))
-    right = entries.select("value", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("off").alias("off_b"), F.col("component").alias("c_b"), F.col("hub").alias("hub_b"))
-    reaching = left.join(apart.select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b"), "apart"), "hub_a")
-    # The ball of a hub lies in the bound, so what is left must come from the other one.
-    reaching = reaching.filter(F.col("apart") <= F.col("off_a") + 2 * far + SLACK)
-    met = reaching.join(right, ["value", "hub_b"]).filter(
-        (F.col("a") < F.col("b"))
-        & (F.col("c_a") != F.col("c_b"))
+    left, right = (
+        entries.select(
+            "value",
+            F.col("hub").alias(f"hub_{s}"),
+            F.col("doc_id").alias(s),
+            *(F.col(c).alias(f"{short}_{s}") for c, short in (("n", "n"), ("off", "off"), ("component", "c"))),
+        )
+        for s in ("a", "b")
+    )
+    # What lies between the hubs must come from both members' distances to them and the bound.
+    met = met.join(left, ["value", "hub_a"]).filter(F.col("apart") <= F.col("off_a") + 2 * far + SLACK)
+    met = met.join(right, ["value", "hub_b"]).filter(
+        (F.col("c_a") != F.col("c_b"))
         & (F.col("off_a") + F.col("off_b") + far + SLACK >= F.col("apart"))
         & close_sizes(F.col("n_a"), F.col("n_b"), percent)
     )
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
+    met = met.withColumns({"n_a": F.least("n_a", "n_b"), "n_b": F.greatest("n_a", "n_b")})
     met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("lists"))
     met = met.filter(F.col("lists") >= first_needed(F.col("n_a"), F.col("n_b"), percent))
     return merged(reached, overlaps(met, sized, texts, words).filter(is_link(percent)))

@@ -12,8 +12,9 @@ leaves (n + m) * (100 - percent) / (100 + percent) at most.
    join's keys. A document has keys in its own band and in the next. There are
    some segments to spare: a document is *covered* in a band if no more than
    these are bad, that is nearly empty or a key of over ``LONG`` documents.
-2. Members of each list are paired with its smallest id, all those of short
-   lists of different components with each other. Pairs whose folded sketches
+2. Each document is paired with the smallest ids of its lists, those two with
+   which it shares most keys; all members of short lists in different components
+   are paired with each other. Pairs whose folded sketches
    differ by more than the bound are dropped, the others verified on the words.
 3. Partners that are covered neither of them meet as crowded documents.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.near_links import close_sizes, crowded_links, in_components, is_link, merged, overlaps, set_digests, shingle_sets
@@ -38,6 +39,8 @@ WORDS = 4
 PERCENT = 85
 # Documents of a key up to which all of them are paired.
 LONG = 64
+# Hubs that a document is compared with before all others.
+HUBS = 2
 # Bits of a segment, of which a key is a hash.
 SEGMENT_BITS = 256
 # Keys that a task holds before it passes them on, and text bytes for each bucket.
@@ -144,10 +147,10 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def stars_of(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The distinct pairs of the first document of each run with its others."""
+def stars_of(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of the first document of each run with its others, and how many runs have them."""
     pairs = np.column_stack((np.repeat(docs[starts], lengths), docs))
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0, return_counts=True)
 
 
 def common_keys(docs: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +190,8 @@ def pack_keys(words: int, percent: int, buckets: int):
         settled = np.repeat(often, lengths)
         if settled.any():
             own, own_lengths = runs(codes[settled])
-            pairs = stars_of(docs[settled], own, own_lengths)
-            yield from rows(STARS, spread(pairs[:, 1]), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.uint8), np.ones(len(pairs), np.uint32))
+            pairs, times = stars_of(docs[settled], own, own_lengths)
+            yield from rows(STARS, spread(pairs[:, 1]), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.uint8), times.astype(np.uint32))
             # The document that goes on is counted where it arrives.
             others = settled & ~sent
             pairs, times = common_keys(docs[others], slots[others])
@@ -255,8 +258,9 @@ def match_keys(table: pa.Table) -> pa.Table:
     several = np.repeat(total > 1, lengths)
     common = np.repeat(total > LONG, lengths)
     own, own_lengths = runs(codes[several])
-    stars = np.concatenate((np.column_stack((joined(STARS, "x", np.int64), joined(STARS, "y", np.int64))), stars_of(docs[several], own, own_lengths)))
-    stars = np.unique(stars, axis=0)
+    stars, n_stars = stars_of(docs[several], own, own_lengths)
+    stars = np.concatenate((np.column_stack((joined(STARS, "x", np.int64), joined(STARS, "y", np.int64))), stars))
+    n_stars = np.concatenate((joined(STARS, "times", np.uint32).astype(np.int64), n_stars))
     listed = several & ~common
     pairs, n_common = common_keys(docs[common], slots[common])
     bad = np.concatenate((np.column_stack((joined(COMMON, "x", np.int64), joined(COMMON, "slots", np.uint8).astype(np.int64))), pairs))
@@ -267,7 +271,7 @@ def match_keys(table: pa.Table) -> pa.Table:
             "kind": kind,
             "a": np.concatenate((stars[:, 0], bucket | codes[listed].astype(np.int64), bad[:, 0])),
             "b": np.concatenate((stars[:, 1], docs[listed], bad[:, 1])),
-            "times": np.concatenate((np.ones(len(stars), np.int64), np.ones(int(listed.sum()), np.int64), n_bad)),
+            "times": np.concatenate((n_stars, np.ones(int(listed.sum()), np.int64), n_bad)),
         }
     )
 
@@ -303,6 +307,16 @@ def likely_pairs(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFra
     return saved(both.mapInArrow(near_sketches(percent), "a long, b long"), "likely")
 
 
+def best_hubs(stars: DataFrame) -> DataFrame:
+    """Of the hubs (a) of each member (b) the ``HUBS`` that share most keys with it.
+
+    What they don't link is compared all the same, in the short lists or as crowded.
+    """
+    pairs = stars.groupBy("a", "b").agg(F.sum("times").alias("times"))
+    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    return saved(pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS).select("a", "b"), "stars")
+
+
 def pairs_of_lists(listed: DataFrame, reached: DataFrame) -> DataFrame:
     """Members of different components of each short list, once each."""
     entries = in_components(listed, reached)
@@ -350,12 +364,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     own = texts.join(originals.select("doc_id", "mark"), ["doc_id", "mark"]).select("doc_id", "text")
     found = own.mapInArrow(pack_keys(words, percent, buckets), PACKED).groupBy("bucket").applyInArrow(match_keys, FOUND)
     found = saved(found, "found")
-    stars = found.filter(F.col("kind") == STARS).select("a", "b").distinct()
+    stars = best_hubs(found.filter(F.col("kind") == STARS))
     listed = found.filter(F.col("kind") == KEYS).select(F.col("a").alias("value"), F.col("b").alias("doc_id"))
     listed = listed.distinct()
 
-    met = found.filter(F.col("kind") == STARS).select(F.col("a").alias("doc_id")).union(listed.select("doc_id"))
-    met = saved(met.union(found.filter(F.col("kind") == STARS).select("b")).distinct(), "met")
+    met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(listed.select("doc_id"))
+    met = saved(met.distinct(), "met")
     sketched = texts.join(originals.join(met, "doc_id").select("doc_id", "mark"), ["doc_id", "mark"]).select("doc_id", "text")
     sketched = sketched.mapInArrow(sketches(words), "doc_id long, sketch binary").dropDuplicates(["doc_id"])
     sketched = saved(sketched.join(originals.select("doc_id", "n"), "doc_id"), "sketches")
