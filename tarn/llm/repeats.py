@@ -12,13 +12,16 @@ what is known about them, and what else is shuffled are packed hashes.
    tells each document which of its anchors others have too.
 3. Segments. Windows holding a shared anchor, and only they, go to buckets by
    the least hash inside them, which equal windows have in common. Neighbours
-   with the same least hash travel together as one segment.
+   with the same least hash travel together as one segment. The windows of each
+   least hash are counted first: one that more than ``HOT_WINDOWS`` have, such as
+   a string shorter than a window that many documents share, is split. Its
+   windows go to buckets by their own hash, so that only equal ones meet.
 4. A bucket compares the windows themselves and names the stretches to remove.
 
 In steps 2 and 3 each task first settles among its own rows what repeats there:
 a passage that a third of all documents hold leaves a task once, not once for
-each document. The number of buckets follows the size of the input, so that a
-bucket stays about the same size.
+each document, and what is settled goes past the buckets. The number of buckets
+follows the size of the input, so that a bucket stays about the same size.
 """
 
 from __future__ import annotations
@@ -31,13 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import mix, slices
-from tarn.llm.shared import earliest_of_copies, saved, shuffle_partitions, text_or_empty
+from tarn.llm.shared import earliest_of_copies, hint_small, saved, shuffle_partitions, text_or_empty
 
 # Anchors or segment bytes that a task holds before it passes them on.
 HELD_ANCHORS = 1_000_000
 HELD_BYTES = 1 << 24
 # Bytes of text for each bucket.
 BUCKET_BYTES = 1 << 22
+# Windows with one least hash that travel to one bucket.
+HOT_WINDOWS = 4096
+# Windows of a segment that are split at once.
+PIECE_WINDOWS = 1 << 16
+# Bytes of the values in a batch: their places are 32-bit numbers.
+BATCH_BYTES = 1 << 28
 
 LOW = np.uint64(0xFFFFFFFF)
 THIRTY_TWO = np.uint64(32)
@@ -75,9 +84,20 @@ def segments_of(at: np.ndarray, rows: np.ndarray, least: np.ndarray) -> tuple[np
 
 def binary_array(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Stretches of bytes that follow one another in ``values``, one each value."""
-    bounds = np.append(begins, ends[-1:] if len(ends) else 0).astype(np.int32)
+    bounds = np.append(begins, ends[-1:] if len(ends) else 0).astype(np.int64)
     buffers = [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]
-    return pa.Array.from_buffers(pa.binary(), len(begins), buffers)
+    return pa.Array.from_buffers(pa.large_binary(), len(begins), buffers)
+
+
+def bounds_of(units: pa.Array) -> np.ndarray:
+    """Where the values of a large binary array begin and end in its buffer."""
+    return np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+
+
+def expand(segments: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of the segments: segment number and place in it."""
+    n = windows[segments]
+    return np.repeat(segments, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 # Step 2 ---------------------------------------------------------------------
@@ -103,12 +123,15 @@ def pack_anchors(shape, buckets: int):
         first = np.zeros(len(codes), bool)
         first[order[starts]] = True
         sent = ~several | first
-        yield from rows(codes[sent], np.where(several, -1, docs)[sent], any_indexed[sent], False)
+        bucket = (codes >> THIRTY_TWO).astype(np.int32)
+        yield from rows(bucket[sent], codes[sent], np.where(several, -1, docs)[sent], any_indexed[sent], False)
         if several.any():
-            yield from rows(codes[several], docs[several], indexed[several], True)
+            # Told already: they only pass through, spread by document.
+            spread = (mix(docs[several].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield from rows(spread, codes[several], docs[several], indexed[several], True)
 
-    def rows(codes, docs, indexed, settled):
-        bucket = (codes >> THIRTY_TWO).astype(np.int32)
+    def rows(bucket, codes, docs, indexed, settled):
+        kept = (lambda c: c.tobytes()) if settled else (lambda c: (c & LOW).astype(np.uint32).tobytes())
         order = np.argsort(bucket, kind="stable")
         starts, _ = groups_of(bucket[order])
         ends = np.append(starts[1:], len(codes))
@@ -117,7 +140,7 @@ def pack_anchors(shape, buckets: int):
             {
                 "bucket": pa.array(bucket[order][starts], pa.int32()),
                 "settled": pa.array([settled] * len(parts), pa.bool_()),
-                "codes": pa.array([(codes[p] & LOW).astype(np.uint32).tobytes() for p in parts], pa.binary()),
+                "codes": pa.array([kept(codes[p]) for p in parts], pa.binary()),
                 "docs": pa.array([docs[p].astype(np.int64).tobytes() for p in parts], pa.binary()),
                 "indexed": pa.array([np.packbits(indexed[p]).tobytes() for p in parts], pa.binary()),
             }
@@ -147,13 +170,13 @@ def match_anchors(table: pa.Table) -> pa.Table:
     for settled, c, d, i in zip(
         *(table.column(n).to_pylist() for n in ("settled", "codes", "docs", "indexed")), strict=True
     ):
-        c, d = np.frombuffer(c, np.uint32), np.frombuffer(d, np.int64)
+        d = np.frombuffer(d, np.int64)
         if settled:
             told.append(d)
-            told_codes.append(c)
+            told_codes.append(np.frombuffer(c, np.uint64))
         else:
             docs.append(d)
-            codes.append(c)
+            codes.append(np.frombuffer(c, np.uint32))
             indexed.append(np.unpackbits(np.frombuffer(i, np.uint8), count=len(d)).astype(bool))
     if docs:
         docs, codes, indexed = map(np.concatenate, (docs, codes, indexed))
@@ -164,64 +187,70 @@ def match_anchors(table: pa.Table) -> pa.Table:
         shared = (times > 1) & np.logical_or.reduceat(indexed, starts)
         chosen = shared[group] & (docs >= 0)
         told.append(docs[chosen])
-        told_codes.append(codes[chosen])
-    told, told_codes = np.concatenate(told), np.concatenate(told_codes).astype(np.uint64)
-    return pa.table({"doc_id": pa.array(told, pa.int64()), "code": pa.array((bucket | told_codes).view(np.int64))})
+        told_codes.append(bucket | codes[chosen].astype(np.uint64))
+    told, told_codes = np.concatenate(told), np.concatenate(told_codes)
+    return pa.table({"doc_id": pa.array(told, pa.int64()), "code": pa.array(told_codes.view(np.int64))})
 
 
 # Steps 3 and 4 --------------------------------------------------------------
 
 SEGMENTS = "bucket int, settled boolean, least long, doc_id long, start int, windows int, units binary"
+STRETCHES = "doc_id long, start int, end int"
+
+
+def segment_batches(bucket, settled: bool, least, docs, starts, windows, units: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """Rows of segments, of a bounded number of bytes each batch."""
+    sizes = np.zeros(len(docs), np.int64) if units is None else np.diff(bounds_of(units))
+    n, first = len(docs), 0
+    ends = np.cumsum(sizes)
+    while first < n:
+        before = ends[first - 1] if first else 0
+        last = min(n, max(first + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))))
+        at = slice(first, last)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[at].astype(np.int32)),
+                pa.array(np.full(last - first, settled)),
+                pa.array(least[at].view(np.int64)),
+                pa.array(docs[at]),
+                pa.array(starts[at].astype(np.int32)),
+                pa.array(windows[at].astype(np.int32)),
+                units[first:last].cast(pa.binary()) if units is not None else pa.nulls(len(docs[at]), pa.binary()),
+            ],
+            names=["bucket", "settled", "least", "doc_id", "start", "windows", "units"],
+        )
+        first = last
 
 
-def pack_segments(shape, anchor_buckets: int, buckets: int):
-    """Segments of windows that hold a shared anchor, with what compares them.
+def settle(shape, least, docs, starts, windows, units: pa.Array, bucket) -> Iterator[pa.RecordBatch]:
+    """Of equal segments the earliest is sent on; the stretches of the others are settled.
 
-    Of equal segments in a task the earliest is sent on. The others are
-    settled; their neighbours are joined to one stretch.
+    ``bucket`` gives the buckets of the segments at some places.
     """
-    width = shape.width
+    key = units.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((starts, docs, key))
+    first, group = groups_of(key[order])
+    repeat = np.zeros(len(key), bool)
+    if shape.same_document:
+        repeat[order] = True
+        repeat[order[first]] = False
+    else:
+        repeat[order] = docs[order] > docs[order][first][group]
+    sent, gone = np.flatnonzero(~repeat), np.flatnonzero(repeat)
+    yield from segment_batches(bucket(sent), False, least[sent], docs[sent], starts[sent], windows[sent], units.take(pa.array(sent)))
+    if len(gone):
+        doc, begin, end = joined(docs[gone], starts[gone], starts[gone] + windows[gone] + shape.width - 1)
+        zero = np.zeros(len(doc), np.uint64)
+        yield from segment_batches(zero, True, zero, doc, begin, end - begin - shape.width + 1, None)
+
+
+def pack_segments(shape, anchor_buckets: int, buckets: int):
+    """Segments of windows that hold a shared anchor, with what compares them."""
 
     def flush(held) -> Iterator[pa.RecordBatch]:
-        least, docs, starts, windows, key = (np.concatenate([h[i] for h in held]) for i in range(5))
-        units = pa.concat_arrays([h[5] for h in held])
-        order = np.lexsort((starts, docs, key))
-        first, group = groups_of(key[order])
-        repeat = np.zeros(len(key), bool)
-        if shape.same_document:
-            repeat[order] = True
-            repeat[order[first]] = False
-        else:
-            repeat[order] = docs[order] > docs[order][first][group]
-        sent = np.flatnonzero(~repeat)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array((least[sent] % np.uint64(buckets)).astype(np.int32)),
-                pa.array(np.zeros(len(sent), bool)),
-                pa.array(least[sent].view(np.int64)),
-                pa.array(docs[sent]),
-                pa.array(starts[sent].astype(np.int32)),
-                pa.array(windows[sent].astype(np.int32)),
-                units.take(pa.array(sent)),
-            ],
-            names=["bucket", "settled", "least", "doc_id", "start", "windows", "units"],
-        )
-        if len(sent) < len(key):
-            gone = np.flatnonzero(repeat)
-            doc, begin, end = joined(docs[gone], starts[gone], starts[gone] + windows[gone] + width - 1)
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
-                    pa.array(np.ones(n, bool)),
-                    pa.array(np.zeros(n, np.int64)),
-                    pa.array(doc),
-                    pa.array(begin.astype(np.int32)),
-                    pa.array((end - begin - width + 1).astype(np.int32)),
-                    pa.nulls(n, pa.binary()),
-                ],
-                names=["bucket", "settled", "least", "doc_id", "start", "windows", "units"],
-            )
+        least, docs, starts, windows = (np.concatenate([h[i] for h in held]) for i in range(4))
+        units = pa.concat_arrays([h[4] for h in held])
+        yield from settle(shape, least, docs, starts, windows, units, lambda at: least[at] % np.uint64(buckets))
 
     def run(batches):
         held, size = [], 0
@@ -236,9 +265,9 @@ def pack_segments(shape, anchor_buckets: int, buckets: int):
                 found = shape.segments(
                     data, offsets, lambda r, v, a=a, b=b, f=first: flagged(r, code_of(v, anchor_buckets), known_rows[a:b] - f, known[a:b])
                 )
-                row, least, starts, windows, key, units = found
+                row, least, starts, windows, units = found
                 if len(row):
-                    held.append((least, ids[first:last][row], starts, windows, key, units))
+                    held.append((least, ids[first:last][row], starts, windows, units))
                     size += units.nbytes + 40 * len(row)
                 if size >= HELD_BYTES:
                     yield from flush(held)
@@ -249,6 +278,61 @@ def pack_segments(shape, anchor_buckets: int, buckets: int):
     return run
 
 
+def split_windows(shape, buckets: int):
+    """Segments cut into their windows, each in a bucket by its own hash."""
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        docs, starts, windows = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
+        units = pa.array([h[4] for h in held], pa.large_binary())
+        segment, at = expand(np.arange(len(docs)), windows)
+        single, hashes = shape.single_windows(units, windows)
+        ones = np.ones(len(segment), np.int64)
+        yield from settle(shape, hashes, docs[segment], starts[segment] + at, ones, single, lambda chosen: hashes[chosen] % np.uint64(buckets))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("least", "doc_id", "start", "windows")]
+            for least, doc, start, windows, units in zip(*columns, batch.column("units").to_pylist(), strict=True):
+                for first in range(0, windows, PIECE_WINDOWS):
+                    n = min(PIECE_WINDOWS, windows - first)
+                    held.append((least, doc, start + first, n, shape.cut(units, first, n)))
+                    size += n * shape.window_bytes
+                    if size >= HELD_BYTES:
+                        yield from flush(held)
+                        held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def routed(segments: DataFrame, shape, buckets: int, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """Segments to compare in their buckets, and settled ones; hot least hashes are split."""
+    segments = saved(segments, "segments")
+    open_ = segments.filter("not settled")
+    hot = open_.groupBy("least").agg(F.sum("windows").alias("n")).filter(F.col("n") > hot_windows).select("least")
+    hot = saved(hot, "hot")
+    cold = open_.join(hint_small(hot), "least", "left_anti").select(*segments.columns)
+    split = open_.join(hint_small(hot), "least", "left_semi").select(*segments.columns)
+    split = saved(split.mapInArrow(split_windows(shape, buckets), SEGMENTS), "split")
+    return cold.unionByName(split.filter("not settled")), segments.filter("settled").unionByName(split.filter("settled"))
+
+
+def match_segments(shape):
+    """Of one bucket: the stretches of windows that occur earlier."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        d, s, n = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "windows"))
+        units = table.column("units").combine_chunks().cast(pa.large_binary())
+        segment, at, length = shape.repeats(d, s, n, units)
+        docs, begins, ends = joined(d[segment], s[segment] + at, s[segment] + at + length)
+        return pa.table({"doc_id": docs, "start": begins.astype(np.int32), "end": ends.astype(np.int32)})
+
+    return run
+
+
 def joined(docs, begins, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of each document, those that overlap or touch made one."""
     order = np.lexsort((begins, docs))
@@ -263,29 +347,16 @@ def joined(docs, begins, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs[at], begins[at], reach[np.append(at[1:] - 1, len(docs) - 1)]
 
 
-def match_segments(shape):
-    """Of one bucket: the stretches of windows that occur earlier."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        settled = table.column("settled").to_numpy()
-        doc, start, windows = (table.column(n).to_numpy() for n in ("doc_id", "start", "windows"))
-        docs, begins, ends = [doc[settled]], [start[settled]], [(start + windows + shape.width - 1)[settled]]
-        open_ = table.filter(pa.array(~settled))
-        if len(open_):
-            d, s, n = (open_.column(c).to_numpy() for c in ("doc_id", "start", "windows"))
-            units = open_.column("units").combine_chunks()
-            seg, at = shape.repeats(d, s, n, open_.column("least").to_numpy(), units)
-            docs.append(d[seg])
-            begins.append(s[seg] + at)
-            ends.append(s[seg] + at + shape.width)
-        docs, begins, ends = joined(*(np.concatenate(x).astype(np.int64) for x in (docs, begins, ends)))
-        return pa.table({"doc_id": docs, "start": begins.astype(np.int32), "end": ends.astype(np.int32)})
-
-    return run
+# The whole ------------------------------------------------------------------
 
 
-# The whole ------------------------------------------------------------------
+def shared_segments(texts: DataFrame, shape, buckets: int) -> DataFrame:
+    """Segments of the windows that hold an anchor which other documents have too."""
+    anchors = texts.mapInArrow(pack_anchors(shape, buckets), ANCHORS)
+    told = anchors.groupBy("bucket").applyInArrow(match_anchors, "doc_id long, code long")
+    shared = told.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    known = texts.join(shared, "doc_id").select("doc_id", "text", "codes")
+    return known.mapInArrow(pack_segments(shape, buckets, buckets), SEGMENTS)
 
 
 def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
@@ -311,25 +382,14 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
 
-    # Every join below is on the id alone, so that one shuffle of the texts
-    # serves all three passes over them.
+    # Joins on the id alone, so that a shuffle of the texts serves both passes of a plan.
     texts = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("same", F.lit(False)))
-    shared = (
-        texts.filter("not copy")
-        .select("doc_id", "text")
-        .mapInArrow(pack_anchors(shape, buckets), ANCHORS)
-        .groupBy("bucket")
-        .applyInArrow(match_anchors, "doc_id long, code long")
-        .groupBy("doc_id")
-        .agg(F.collect_list("code").alias("codes"))
-    )
+    segments = shared_segments(texts.filter("not copy").select("doc_id", "text"), shape, buckets)
+    open_, settled = routed(segments, shape, buckets)
+    matched = open_.groupBy("bucket").applyInArrow(match_segments(shape), STRETCHES)
+    settled = settled.select("doc_id", "start", (F.col("start") + F.col("windows") + shape.width - 1).alias("end"))
     stretches = (
-        texts.filter("not copy")
-        .join(shared, "doc_id")
-        .select("doc_id", "text", "codes")
-        .mapInArrow(pack_segments(shape, buckets, buckets), SEGMENTS)
-        .groupBy("bucket")
-        .applyInArrow(match_segments(shape), "doc_id long, start int, end int")
+        matched.union(settled)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
     )

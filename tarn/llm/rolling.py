@@ -75,9 +75,6 @@ class Prefix:
         self._sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self._sums[1:])
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self._sums[ends] - self._sums[starts]) * self._down[starts]
-
     def rolling(self, width: int) -> np.ndarray:
         """The hash of every stretch of ``width`` values."""
         n = len(self._sums) - width

@@ -4,8 +4,8 @@ Every document is cut into blocks of ``block`` words that do not overlap; their
 hashes are the index. A window of ``2 * block`` or more words, wherever it
 starts, covers a whole block of the document it first occurs in, so the rolling
 hash of ``block`` words, probed at every word, hits that block in each copy.
-Hits are extended to both sides as far as whole windows agree, on 128-bit hashes
-of the window's words, and touching windows join to maximal repeats.
+Hits are extended to both sides as far as whole windows agree, by two 61-bit
+fingerprints of the window's words, and touching windows join to maximal repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.repeats import binary_array, groups_of, repeated_stretches, segments_of
+from tarn.llm.repeats import binary_array, expand, groups_of, repeated_stretches, segments_of
 from tarn.llm.rolling import Words, mix, run_fingerprints, sliding_min
 
 WINDOW = 20
@@ -31,6 +31,8 @@ class WordWindows:
     width: int = WINDOW
     # A window also repeats one that starts earlier in the same document.
     same_document = True
+    # Of a window: fingerprints of its words in two lanes.
+    window_bytes = 16
 
     @property
     def block(self) -> int:
@@ -68,16 +70,23 @@ class WordWindows:
         values = window_fingerprints(words, data, self.width)[at]
         begin, windows = segments_of(at, rows, least)
         ends = np.append(begin[1:], len(at))
-        key = mix(np.add.reduceat(mix(values[:, 0] ^ mix(values[:, 1])), begin)) if len(at) else values[:, 0]
-        units = binary_array(values, begin * 16, ends * 16)
+        units = binary_array(values, begin * self.window_bytes, ends * self.window_bytes)
         row = rows[at[begin]]
-        return row, least[at[begin]], at[begin] - words.first[row], windows, key, units
+        return row, least[at[begin]], at[begin] - words.first[row], windows, units
 
-    def repeats(self, doc, start, windows, least, units):
-        """Windows with the same hash as an earlier one, in order of id and start."""
+    def cut(self, units: bytes, first: int, windows: int) -> bytes:
+        return units[first * self.window_bytes : (first + windows) * self.window_bytes]
+
+    def single_windows(self, units, windows):
+        """Each window of the segments by itself, and a hash of it."""
+        values = np.frombuffer(b"".join(units.to_pylist()), np.uint64).reshape(-1, 2)
+        ends = np.arange(len(values) + 1) * self.window_bytes
+        return binary_array(values, ends[:-1], ends[1:]), mix(values[:, 0] ^ mix(values[:, 1]))
+
+    def repeats(self, doc, start, windows, units):
+        """Windows that equal an earlier one, in order of id and start: segment, place, words."""
         hashes = np.frombuffer(b"".join(units.to_pylist()), np.uint64).reshape(-1, 2)
-        segment = np.repeat(np.arange(len(doc)), windows)
-        at = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+        segment, at = expand(np.arange(len(doc)), windows)
         order = np.lexsort((start[segment] + at, doc[segment], hashes[:, 1], hashes[:, 0]))
         first, group = groups_of(hashes[order])
         head = order[first][group]
@@ -85,7 +94,7 @@ class WordWindows:
             start[segment[order]] + at[order] > start[segment[head]] + at[head]
         )
         gone = order[later]
-        return segment[gone], at[gone]
+        return segment[gone], at[gone], np.full(len(gone), self.width)
 
 
 def window_fingerprints(words: Words, data: np.ndarray, width: int) -> np.ndarray:

@@ -1,13 +1,15 @@
-"""Repeated byte strings, found by sorting suffixes.
+"""Repeated byte strings, found by longest previous factors in suffix order.
 
-The suffixes that a bucket compares are sorted by their first ``width`` bytes,
-equal ones by document. Whether the longest previous factor of a suffix reaches
-``width`` bytes is whether an earlier document is in its run of equal ones; then
-these bytes are removed. The factors' lengths themselves are not computed.
 A suffix array over the whole corpus would move every suffix. Here only those
 are sorted whose next ``width`` bytes hold an anchor that another document holds
 too. Anchors are the strings of ``ANCHOR`` bytes whose hash is least among those
 of some window, so that a window which repeats always holds one that repeats.
+
+A bucket sorts the suffixes of its segments by doubling, takes the common
+prefixes of neighbours from the ranks of each doubling, and for every suffix the
+nearest ones of smaller documents before and after it in suffix order. The
+longer of the two common prefixes is the longest previous factor: how far the
+suffix repeats an earlier document. Where it reaches ``width`` bytes it goes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.repeats import binary_array, groups_of, repeated_stretches, segments_of
+from tarn.llm.repeats import binary_array, bounds_of, expand, groups_of, repeated_stretches, segments_of
 from tarn.llm.rolling import byte_prefix, mix, sliding_min
 
 WINDOW = 50
@@ -40,16 +42,15 @@ class ByteWindows:
 
     def _least(self, data, offsets):
         """Text number of each byte, windows inside one text, least anchor hash."""
-        prefix = byte_prefix(data)
-        least = sliding_min(mix(prefix.rolling(self.anchor), 1), self.width - self.anchor + 1)
+        least = sliding_min(mix(byte_prefix(data).rolling(self.anchor), 1), self.width - self.anchor + 1)
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         n = len(least)
         inside = rows[:n] == rows[self.width - 1 : self.width - 1 + n]
-        return prefix, rows, np.flatnonzero(inside), least
+        return rows, np.flatnonzero(inside), least
 
     def anchors(self, data, offsets):
         """The distinct least hashes of each text; each of them is indexed."""
-        _, rows, at, least = self._least(data, offsets)
+        rows, at, least = self._least(data, offsets)
         begin, _ = segments_of(at, rows, least)
         row, value = rows[at[begin]], least[at[begin]]
         order = np.lexsort((value, row))
@@ -58,86 +59,150 @@ class ByteWindows:
         return row[chosen], value[chosen], np.ones(len(chosen), bool)
 
     def segments(self, data, offsets, is_shared):
-        prefix, rows, at, least = self._least(data, offsets)
+        rows, at, least = self._least(data, offsets)
         begin, windows = segments_of(at, rows, least)
         hit = is_shared(rows[at[begin]], least[at[begin]])
         start, windows = at[begin][hit], windows[hit]
-        end = start + windows + self.width - 1
-        lengths = end - start
+        lengths = windows + self.width - 1
         to = np.cumsum(lengths)
         source = np.repeat(start - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)
         units = binary_array(data[source], to - lengths, to)
-        key = mix(prefix.hashes(start, end) + lengths.astype(np.uint64), 2)
         row = rows[start]
-        return row, least[start], start - offsets[row], windows, key, units
-
-    def repeats(self, doc, start, windows, least, units):
-        """Suffixes whose longest previous factor is a window or longer.
-
-        Equal segments are compared once, for their earliest document; in the
-        other documents all their windows repeat.
+        return row, least[start], start - offsets[row], windows, units
+
+    @property
+    def window_bytes(self) -> int:
+        return self.width
+
+    def cut(self, units: bytes, first: int, windows: int) -> bytes:
+        return units[first : first + windows + self.width - 1]
+
+    def single_windows(self, units, windows):
+        """Each window of the segments by itself, and a hash of it."""
+        bounds, data = bounds_of(units), np.frombuffer(units.buffers()[2], np.uint8)
+        segment, at = expand(np.arange(len(units)), windows)
+        place = bounds[segment] + at
+        ends = np.arange(len(place) + 1) * self.width
+        values = data[(place[:, None] + np.arange(self.width)).ravel()]
+        hashes = mix(byte_prefix(data[: bounds[-1]]).rolling(self.width), 4)[place]
+        return binary_array(values, ends[:-1], ends[1:]), hashes
+
+    def repeats(self, doc, start, windows, units):
+        """Suffixes that repeat ``width`` bytes or more of an earlier document, and how many.
+
+        Segments with equal bytes are compared once, for their earliest document;
+        in the other documents all their windows repeat.
         """
-        offsets = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1].astype(np.int64)
-        data = np.frombuffer(units.buffers()[2], np.uint8)
-        prefix = byte_prefix(data[offsets[0] : offsets[-1]])
-        bounds = offsets - offsets[0]
-        keys = [mix(prefix.hashes(bounds[:-1], bounds[1:]), k) + np.diff(bounds).astype(np.uint64) for k in (1, 2)]
-        order = np.lexsort((doc, keys[0]))
-        first, group = groups_of(keys[0][order])
+        key = units.dictionary_encode().indices.to_numpy()
+        order = np.lexsort((doc, key))
+        first, group = groups_of(key[order])
         head = np.empty(len(doc), np.int64)
         head[order] = order[first][group]
-        whole = doc > doc[head]
-        # Suffixes of distinct segments, where more than one shares the least hash.
         heads = order[first]
-        by_least = heads[np.argsort(least[heads], kind="stable")]
-        run, number = groups_of(least[by_least])
-        some = by_least[(np.diff(np.append(run, len(by_least))) > 1)[number]]
-        segment = np.repeat(some, windows[some])
-        at = np.arange(len(segment)) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
-        hit = self._previous_factors(data, offsets[segment] + at, doc[segment])
-        found_segment, found_at = segment[hit], at[hit]
-        # What holds for the earliest document of equal segments holds for its other copies there.
-        gone_segment, gone_at = expand(np.flatnonzero(whole), windows)
-        flag = np.zeros(int(windows.sum()) + 1, bool)
-        base = np.cumsum(windows) - windows
-        flag[base[found_segment] + found_at] = True
-        same = np.flatnonzero(~whole)
-        seg, pos = expand(same, windows)
-        kept = flag[base[head[seg]] + pos]
-        return np.concatenate((gone_segment, seg[kept])), np.concatenate((gone_at, pos[kept]))
-
-    def _previous_factors(self, data, suffix, doc):
-        """Whether each suffix shares ``width`` bytes with one of an earlier document.
-
-        In suffix order with ties by document, the previous smaller document of
-        a suffix with a common prefix of ``width`` bytes is the first of its run.
-        """
-        if not len(suffix):
-            return np.zeros(0, bool)
-        words = -(-self.width // 8)
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        columns = []
-        for k in range(words):
-            column = np.ascontiguousarray(eight[np.minimum(suffix + 8 * k, len(padded) - 8)]).view(">u8").ravel().astype(np.uint64)
-            spare = max(0, 8 * (k + 1) - self.width)
-            columns.append(column >> np.uint64(8 * spare))
-        order = np.lexsort((doc, *columns[::-1]))
-        new = np.zeros(len(suffix), bool)
-        new[0] = True
-        for column in columns:
-            new[1:] |= column[order[1:]] != column[order[:-1]]
-        first = np.flatnonzero(new)
-        earliest = doc[order[first]][np.cumsum(new) - 1]
-        out = np.empty(len(suffix), bool)
-        out[order] = doc[order] > earliest
-        return out
-
-
-def expand(segments: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every window of the segments: segment number and place in it."""
-    n = windows[segments]
-    return np.repeat(segments, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        bounds, data = bounds_of(units), np.frombuffer(units.buffers()[2], np.uint8)
+        factors = previous_factors(data, bounds[:-1][heads], bounds[1:][heads], doc[heads])
+        lengths = np.diff(bounds)
+        # Of every segment the factors of the one that it equals, or its whole length.
+        base = np.zeros(len(doc), np.int64)
+        base[heads] = np.cumsum(lengths[heads]) - lengths[heads]
+        segment, at = expand(np.arange(len(doc)), windows)
+        found = np.where(doc[segment] > doc[head[segment]], lengths[segment] - at, factors[base[head[segment]] + at])
+        hit = np.flatnonzero(found >= self.width)
+        return segment[hit], at[hit], found[hit]
+
+
+def eight_bytes(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The next eight bytes as one number that sorts as they do; zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))[places].astype(np.uint64)
+    rest = np.clip(ends - places, 0, 8)
+    beyond = (8 * (8 - np.maximum(rest, 1))).astype(np.uint64)
+    return np.where(rest > 0, words >> beyond << beyond, np.uint64(0))
+
+
+def ranks_by_doubling(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the suffixes by their first 8, 16, 32, ... bytes, until all are told apart.
+
+    ``places`` are the suffixes, those of a segment one after the other up to its
+    end. Suffixes that are equal up to their ends share a rank.
+    """
+
+    def ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        order = np.lexsort((low, high))
+        new = np.append(False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.cumsum(new)
+        return ranks
+
+    rest = ends - places
+    levels = [ranked(eight_bytes(data, places, ends), np.minimum(rest, 8))]
+    width = 8
+    while width < int(rest.max(initial=0)) and int(levels[-1].max()) < len(places) - 1:
+        ranks = levels[-1]
+        # What ends earlier sorts before all that go on.
+        beyond = np.where(rest > width, ranks[np.minimum(np.arange(len(places)) + width, len(places) - 1)], -1)
+        levels.append(ranked(ranks, beyond))
+        width *= 2
+    return levels
+
+
+def common_prefixes(levels: list[np.ndarray], data, places, ends, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix of ``one`` shares with that of ``two``, up to their ends."""
+    one, two = one.copy(), two.copy()
+    last = len(places) - 1
+    shared = np.zeros(len(one), np.int64)
+    rest = np.minimum(ends[one] - places[one], ends[two] - places[two])
+    for level in range(len(levels) - 1, -1, -1):
+        width = 8 << level
+        same = (levels[level][np.minimum(one + shared, last)] == levels[level][np.minimum(two + shared, last)]) & (shared < rest)
+        # Equal ranks near an end mean equal to the end.
+        shared += np.where(same, np.minimum(width, rest - shared), 0)
+    at_one, at_two = np.minimum(one + shared, last), np.minimum(two + shared, last)
+    differ = eight_bytes(data, places[at_one], ends[at_one]) ^ eight_bytes(data, places[at_two], ends[at_two])
+    same_bytes = np.zeros(len(one), np.int64)
+    for k in range(8):
+        same_bytes += (differ >> np.uint64(8 * (7 - k)) == 0).astype(np.int64)
+    return np.minimum(shared + np.where(shared < rest, same_bytes, 0), rest)
+
+
+def nearest_smaller(values: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """Shared with the nearest smaller value before each, 0 if there is none.
+
+    ``prefixes[i]`` is what i shares with i - 1. Whoever is not smaller is skipped
+    with all that lie between it and its own candidate; all skip at once.
+    """
+    n = len(values)
+    before = np.arange(n) - 1
+    shared = np.append(prefixes[:n], 0)
+    values = np.append(values, np.iinfo(np.int64).min)
+    active = np.flatnonzero(values[before] >= values[:n])
+    while len(active):
+        onto = before[active]
+        shared[active] = np.minimum(shared[active], shared[onto])
+        before[active] = before[onto]
+        active = active[values[before[active]] >= values[active]]
+    return np.where(before >= 0, shared[:n], 0)
+
+
+def previous_factors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The longest previous factor of every suffix of the segments, in their order.
+
+    That is the most bytes that it shares with a suffix of a segment of a smaller
+    document, up to the ends of both segments.
+    """
+    segment, at = expand(np.arange(len(begins)), ends - begins)
+    if not len(segment):
+        return np.zeros(0, np.int64)
+    places, stops, owners = begins[segment] + at, ends[segment], docs[segment]
+    levels = ranks_by_doubling(data, places, stops)
+    order = np.lexsort((owners, levels[-1]))
+    prefixes = np.append(0, common_prefixes(levels, data, places, stops, order[:-1], order[1:]))
+    sorted_docs = owners[order]
+    back = nearest_smaller(sorted_docs, prefixes)
+    ahead = nearest_smaller(sorted_docs[::-1], np.append(0, prefixes[:0:-1]))[::-1]
+    factors = np.empty(len(order), np.int64)
+    factors[order] = np.maximum(back, ahead)
+    return factors
 
 
 def keep_rest(width: int):
