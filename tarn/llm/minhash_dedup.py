@@ -6,21 +6,18 @@ each of the least ``keep`` values of the union is in both with probability 0.8,
 so fewer than ``AT_LEAST`` of 48 shared ones have a probability under 1e-9. Sets
 of up to 25 shingles share 0.8 of what they retain for certain.
 
-Candidates come from inverted lists of the retained values. No list is expanded
-into all its pairs:
+Candidates come from inverted lists of the retained values, in one shuffle:
 
 1. Equal sets count once, by their smallest id.
-2. In each list the members are paired with one of them only, the hub: the one
-   whose retained values are the most common altogether, which of many copies
-   with changes is the one with the fewest. Pairs that pass the estimate from
-   their union's sketch are verified on the full sets; what they link makes
-   components.
-3. What may still be missing is a link between two components. In each list the
-   members outside its largest component meet those of other components.
-   Lists of over ``LONG_LIST`` members are left out here. A partner can hide in
-   them only from a document that retains ``AT_LEAST`` of their values. Such
-   documents meet once more, in the lists of all shingles, in each document's
-   rarest fifth: sets that share four fifths share some of those, for certain.
+2. Each document is paired with the smallest ids of its lists, those two with
+   which it shares most values. Pairs that pass the estimate from their union's
+   sketch are verified on the words; what they link makes components.
+3. What may still be missing is a link between two components. Members of short
+   lists meet if their components differ, and go on if they share as many values
+   as a link must outside the long lists.
+4. A partner can hide in lists of over ``LONG`` members only from a document that
+   retains ``AT_LEAST`` of their values. Where that holds for both of a pair, they
+   meet as crowded documents.
 """
 
 from __future__ import annotations
@@ -30,76 +27,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.rolling import Words, mix, run_fingerprints, slices
-from tarn.llm.shared import connected_components, earliest_of_copies, hint_small, saved, text_or_empty
+from tarn.llm.key_lists import COMMON, KEYS, STARS, best_hubs, lists_of_keys
+from tarn.llm.near_links import (
+    as_longs, close_sizes, crowded_links, is_link, merged, one_row_each, open_lists, overlaps, set_digests, shingle_sets,
+)
+from tarn.llm.shared import connected_components, earliest_of_copies, saved, text_or_empty
 
 WORDS = 5
 PERCENT = 80
 KEEP = 48
 AT_LEAST = 20
-LONG_LIST = 64
-# Turns of pairing members of long lists with other hubs. They only spare work:
-# what they don't link is compared in full afterwards.
-STAR_TURNS = 2
-# Sets compared at once where a component is larger than this.
-BLOCK_SETS = 128
-# Entries of the table of shingle frequencies: 2 MB as a broadcast.
-FREQUENCY_BUCKETS = 1 << 18
-# Entries of it in one row, where tables of tasks are added up.
-SLICE_BUCKETS = 256
 
-_SIGN = np.uint64(1 << 63)
-
-
-def shingle_sets(texts: pa.Array, words: int, lane: int = 0):
-    """The sorted distinct shingle hashes of each text; A-Z count as a-z.
-
-    A text with fewer words than a shingle has one shingle of all its words, a
-    text without words none.
-    """
-    for first, last, data, offsets in slices(texts):
-        found = Words(data, offsets)
-        single = found.fingerprints(data, fold=True, lane=lane)
-        runs = run_fingerprints(single, words, lane)
-        for i in range(last - first):
-            a, b = found.first[i], found.first[i + 1]
-            whole = run_fingerprints(single[a:b], b - a, lane) if a < b < a + words else runs[a : max(a, b - words + 1)]
-            yield np.unique(mix(whole))
-
-
-def as_longs(arrays: list[np.ndarray]) -> pa.Array:
-    """Unsigned hashes as arrays of longs, in the same order."""
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array((flat ^ _SIGN).view(np.int64)))
+SIGNED = "doc_id long, mark long, n long, set_1 long, set_2 long, n_bytes long, sketch array<long>"
 
 
 def sign(words: int, keep: int):
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), words))
-            other = shingle_sets(batch.column("text"), words, lane=1)
+            sets, others = (list(shingle_sets(batch.column("text"), words, lane)) for lane in (0, 1))
+            sizes, sketch = pa.array([len(s) for s in sets], pa.int64()), as_longs([s[:keep] for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([int(mix(s, 1).sum() >> np.uint64(1)) for s in sets], pa.int64()),
-                    pa.array([int(mix(s, 2).sum() >> np.uint64(1)) for s in other], pa.int64()),
-                    as_longs([s[:keep] for s in sets]),
-                ],
-                names=["doc_id", "n_shingles", "set_1", "set_2", "sketch"],
+                [batch.column("doc_id"), batch.column("mark"), sizes, *set_digests(sets, others), batch.column("n_bytes"), sketch],
+                names=["doc_id", "mark", "n", "set_1", "set_2", "n_bytes", "sketch"],
             )
 
     return run
 
 
-def whole_sets(words: int):
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_longs(sets)], names=["doc_id", "shingles"])
-
-    return run
+def retained(keep: int):
+    """The values of a set's sketch as its keys; none of them is bad from the start."""
+    return lambda hashes: (hashes[:keep], np.zeros(min(keep, len(hashes)), np.uint8), [])
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -107,35 +64,11 @@ def needed(n: Column, percent: int) -> Column:
     return F.least(F.lit(AT_LEAST), F.ceil(n * percent / 100)).cast("long")
 
 
-def is_hidden(n: Column, hot: Column, percent: int) -> Column:
-    """Whether long lists alone may hold all that a link needs."""
-    return hot >= needed(n, percent)
-
-
-def first_needed(n: Column, m: Column, percent: int) -> Column:
-    """Rarest shingles that a link shares at least, of those that ``pick_rarest`` takes.
-
-    A link shares ``percent`` of ``100 + percent`` of both sizes. What it shares
-    beyond the shingles taken from both lies in the rest of one of the sets.
-    """
-    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
-    return (F.ceil((n + m) * percent / (100 + percent)) - rest).cast("long")
-
-
-def close_sizes(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
-def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The full sets of the documents in ``ids``, their texts picked in the scan."""
-    chosen = docs.join(hint_small(ids.select("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(whole_sets(words), "doc_id long, shingles array<long>")
-
-
 def likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -> DataFrame:
-    """The pairs (a, b) that the sketches of their unions let through, with sizes."""
-    left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
+    """The pairs (a, b) that their sizes and the sketches of their unions let through."""
+    left, right = (
+        signed.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in ("a", "b")
+    )
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, keep)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
     return saved(
@@ -143,236 +76,28 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, keep: int) -
         .join(right, "b")
         .filter(close_sizes(F.col("n_a"), F.col("n_b"), percent))
         .filter(shared >= needed(F.least("n_a", "n_b"), percent))
-        .select("a", "b", "n_a", "n_b"),
+        .select("a", "b"),
         "likely",
     )
 
 
-def members_of(pairs: DataFrame) -> DataFrame:
-    return saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-
+def pairs_of_lists(open_: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """Members of different components of short lists that share enough of these.
 
-def verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links by their full sets."""
-    both = F.size(F.array_intersect("x", "y"))
-    found = (
-        likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
-        .select("a", "b")
-    )
-    return saved(found, "links")
-
-
-def main_components(entries: DataFrame) -> DataFrame:
-    """The largest component of each list that has several: ``value`` and ``main``."""
-    by_component = entries.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = by_component.groupBy("value").agg(
-        F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-    )
-    return saved(main.filter("parts > 1").drop("parts"), "lists")
-
-
-def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Members outside their list's largest component, with one of its members.
-
-    Which one differs from list to list and turn to turn.
+    ``open_``: value, doc_id, component. ``counted``: of each document its size and
+    how many of its values are in long lists.
     """
-    open_ = entries.join(main_components(entries), "value")
-    inside = F.col("component") == F.col("main")
-    hubs = open_.filter(inside).groupBy("value").agg(
-        F.min_by("doc_id", F.xxhash64("doc_id", "value", F.lit(turn))).alias("hub")
+    entries = saved(open_.join(counted, "doc_id"), "entries")
+    one, two = (
+        entries.select("value", *(F.col(c).alias(f"{short}{s}") for c, short in (("doc_id", ""), ("component", "c_"), ("n", "n_"), ("hot", "hot_"))))
+        for s in ("a", "b")
     )
-    pairs = open_.filter(~inside).join(saved(hubs, "hubs"), "value")
-    return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-
-
-def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of list members of different components, with how many lists have them.
-
-    Also the bounds on that for pairs that short lists must show (``least``;
-    null if both are hidden, so that all shingles show them) and for rarest
-    shingles (``least_first``).
-
-    ``entries``: value, doc_id, n, hot, component. One side of a pair is outside
-    the list's largest component, so a list in one component gives no pair, and
-    a list with a large component few.
-    """
-    open_ = entries.join(main_components(entries), "value")
-    one = open_.filter("component != main").select(
-        "value", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hot").alias("hot_a"), F.col("component").alias("c_a"), "main"
-    )
-    two = open_.select(
-        "value", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hot").alias("hot_b"), F.col("component").alias("c_b")
-    )
-    # Where both are outside the largest component, once is enough.
-    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = one.join(two, "value").filter(once & (F.col("c_a") != F.col("c_b")))
-    n_a, n_b, hot_a, hot_b = (F.col(c) for c in ("n_a", "n_b", "hot_a", "hot_b"))
-    both_hidden = is_hidden(n_a, hot_a, percent) & is_hidden(n_b, hot_b, percent)
-    shown = F.greatest(F.lit(1), needed(F.least(n_a, n_b), percent) - F.least(hot_a, hot_b))
-    return (
-        pairs.filter(close_sizes(n_a, n_b, percent))
-        .select(
-            F.least("a", "b").alias("a"),
-            F.greatest("a", "b").alias("b"),
-            F.when(~both_hidden, shown).alias("least"),
-            first_needed(n_a, n_b, percent).alias("least_first"),
-        )
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("lists"), F.min("least").alias("least"), F.min("least_first").alias("least_first"))
-    )
-
-
-def blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Documents of each ``target`` in rows of about ``BLOCK_SETS`` sets, as ``name``."""
-    counts = rows.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n_blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
-    return (
-        rows.join(counts, "target")
-        .join(sets, "doc_id")
-        .groupBy("target", block.alias(f"{name}_block"))
-        .agg(F.collect_list("doc_id").alias(f"{name}_ids"), F.collect_list("shingles").alias(f"{name}_sets"))
+    met = one.join(two, "value").filter(
+        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close_sizes(F.col("n_a"), F.col("n_b"), percent)
     )
-
-
-def compare_blocks(percent: int):
-    """For each document of one block, a link to the other block if there is any."""
-
-    def run(batches):
-        for batch in batches:
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                x_ids, y_ids = (batch.column(c)[i].values.to_numpy() for c in ("x_ids", "y_ids"))
-                x_sets, y_sets = (batch.column(c)[i].values for c in ("x_sets", "y_sets"))
-                sizes = np.diff(x_sets.offsets.to_numpy())
-                values = x_sets.flatten().to_numpy()
-                order = np.argsort(values, kind="stable")
-                values, owner = values[order], np.repeat(np.arange(len(x_ids)), sizes)[order]
-                linked = np.full(len(x_ids), -1)
-                bounds = y_sets.offsets.to_numpy() - y_sets.offsets[0].as_py()
-                flat = y_sets.flatten().to_numpy()
-                for j in range(len(y_ids)):
-                    y = flat[bounds[j] : bounds[j + 1]]
-                    first, last = np.searchsorted(values, y, "left"), np.searchsorted(values, y, "right")
-                    n = last - first
-                    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    both = np.bincount(owner[at], minlength=len(x_ids))
-                    linked[100 * both >= percent * (sizes + len(y) - both)] = j
-                hit = linked >= 0
-                out_a.extend(x_ids[hit].tolist())
-                out_b.extend(y_ids[linked[hit]].tolist())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return run
-
-
-def links_to_large(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of outsiders with large components, and the entries of all others.
-
-    Where a component holds many of the hidden documents, pairs of its members
-    with each outsider that shares a list would be as many as their product.
-    Instead blocks of outsiders meet blocks of members, sets and all, and one
-    link for each outsider and block leaves the task.
-    """
-    members = placed.select("doc_id", "component").distinct()
-    large = members.groupBy("component").count().filter(f"count > {BLOCK_SETS}").select(F.col("component").alias("target"))
-    large = saved(large, "large")
-    inside = members.withColumnRenamed("component", "target").join(large, "target").select("target", "doc_id")
-    touched = placed.withColumnRenamed("component", "target").join(large, "target").select("target", "value").distinct()
-    is_large = large.select(F.col("target").alias("component"), F.lit(True).alias("large"))
-    marked = saved(placed.join(is_large, "component", "left"), "marked")
-    # Two large components meet once, at the smaller one's label.
-    apart = F.when(F.col("large"), F.col("component") > F.col("target")).otherwise(F.col("component") != F.col("target"))
-    outside = saved(marked.join(touched, "value").filter(apart).select("target", "doc_id").distinct(), "outside")
-    met = blocks(outside, sets, "x").join(blocks(inside, sets, "y"), "target")
-    links = met.select("x_ids", "x_sets", "y_ids", "y_sets").mapInArrow(compare_blocks(percent), "a long, b long")
-    return saved(links, "links"), marked.filter("large is null").drop("large")
-
-
-def in_components(entries: DataFrame, reached: DataFrame) -> DataFrame:
-    """``entries`` with ``component``: an id without links is its own."""
-    joined = entries.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return joined.withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def bucket_of(values: np.ndarray) -> np.ndarray:
-    return (values.view(np.uint64) % np.uint64(FREQUENCY_BUCKETS)).astype(np.int64)
-
-
-def as_slices(total: np.ndarray) -> pa.RecordBatch:
-    """The table in rows of ``SLICE_BUCKETS`` counts, those that have any."""
-    table = total.reshape(-1, SLICE_BUCKETS)
-    used = np.flatnonzero(table.any(axis=1))
-    ends = pa.array((np.arange(len(used) + 1) * SLICE_BUCKETS).astype(np.int32))
-    counts = pa.ListArray.from_arrays(ends, pa.array(table[used].ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(used), counts], names=["slice", "counts"])
-
-
-def sum_of_slices(batches) -> np.ndarray:
-    total = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    for batch in batches:
-        counts = batch.column("counts").flatten().to_numpy().reshape(-1, SLICE_BUCKETS)
-        np.add.at(total.reshape(-1, SLICE_BUCKETS), batch.column("slice").to_numpy(), counts)
-    return total
-
-
-def count_buckets(batches):
-    """How many shingles fall into each bucket."""
-    total = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    for batch in batches:
-        values = batch.column("shingles").flatten().to_numpy()
-        total += np.bincount(bucket_of(values), minlength=FREQUENCY_BUCKETS)
-    yield as_slices(total)
-
-
-def add_slices(batches):
-    yield as_slices(sum_of_slices(batches))
-
-
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """Shingles of all ``sets`` in each bucket; its size is fixed.
-
-    Tasks send slices of their tables, which others add up as they arrive.
-    """
-    kind = "slice long, counts array<long>"
-    parts = sets.select("shingles").mapInArrow(count_buckets, kind)
-    return sum_of_slices(parts.repartition("slice").mapInArrow(add_slices, kind).toArrow().to_batches())
-
-
-def pick_rarest(counts, percent: int):
-    def run(batches):
-        frequency = counts.value
-        for batch in batches:
-            first = []
-            for shingles in batch.column("shingles"):
-                values = shingles.values.to_numpy()
-                order = np.lexsort((values, frequency[bucket_of(values)]))
-                # One more than a link may lack.
-                most = len(values) - -(-len(values) * percent // 100) + 1
-                first.append(values[order[:most]])
-            rows = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
-            values = np.concatenate(first) if first else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values), *(batch.column(c).take(rows) for c in ("doc_id", "n", "hot"))],
-                names=["value", "doc_id", "n", "hot"],
-            )
-
-    return run
-
-
-def rarest_shingles(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """Lists over the shingles of ``chosen``: of each set the rarest, one more than a link may lack.
-
-    Two linked sets share one of their first shingles in any order that is the
-    same for all sets. Here it is that of a frequency table of fixed size, so
-    that each task finds them by itself and only they leave it.
-    """
-    counts = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets))
-    rare = sets.join(chosen, "doc_id").select("doc_id", "n", "hot", "shingles")
-    rare = saved(rare.mapInArrow(pick_rarest(counts, percent), "value long, doc_id long, n long, hot long"), "rarest")
-    lists = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
-    return saved(rare.join(saved(lists, "lists"), "value", "left_semi"), "rare")
+    least = F.greatest(F.lit(1), needed(F.least("n_a", "n_b"), percent) - F.least("hot_a", "hot_b"))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min(least).alias("least"))
+    return met.filter(F.col("lists") >= F.col("least")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
@@ -390,68 +115,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     if not 80 <= percent <= 100:
         raise ValueError("the bounds on shared retained values hold from 80 percent on")
-    texts = docs.select("doc_id", text_or_empty().alias("text")).filter("doc_id is not null")
-    signed = saved(
-        texts.mapInArrow(sign(words, keep), "doc_id long, n_shingles long, set_1 long, set_2 long, sketch array<long>"),
-        "signed",
-    )
-    equal = earliest_of_copies(signed.filter("n_shingles > 0"), "n_shingles", "set_1", "set_2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    signed = texts.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(sign(words, keep), SIGNED)
+    signed = saved(one_row_each(signed, "sketch"), "signed")
+    equal = earliest_of_copies(signed.filter("n > 0"), "n", "set_1", "set_2")
     equal = saved(equal.filter("first_id < doc_id"), "equal")
-    originals = saved(signed.filter("n_shingles > 0").join(equal, "doc_id", "left_anti"), "originals")
-
-    # Lists of two members or more; weight: how common a document's values are.
-    entries = originals.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
-    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
-    listed = saved(entries.join(saved(lists.filter("members > 1"), "lists"), "value"), "listed")
-    is_long = F.col("members") > LONG_LIST
-    common = saved(
-        listed.groupBy("doc_id").agg(
-            F.count_if(is_long).alias("hot"), F.sum(F.floor(F.log2("members"))).alias("weight")
-        ),
-        "common",
-    )
-    weighed = listed.join(common.select("doc_id", "weight"), "doc_id")
-    hubs = weighed.groupBy("value").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
-    with_hub = listed.join(saved(hubs, "hubs"), "value")
-
-    stars = (
-        with_hub.filter("doc_id != hub")
-        .groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-        .agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n"))
-        .filter(F.col("lists") >= F.least(F.lit(4), needed(F.col("n"), percent)))
-        .select("a", "b")
-    )
-    likely = likely_pairs(stars, originals, percent, keep)
-    links = verified(likely, sets_of(members_of(likely), texts, words), percent)
-    reached = connected_components(links)
-
-    hidden = originals.join(common, "doc_id").filter(is_hidden(F.col("n_shingles"), F.col("hot"), percent))
-    hidden = saved(hidden.select("doc_id", F.col("n_shingles").alias("n"), "hot"), "hidden")
-    hidden_sets = saved(sets_of(hidden, texts, words), "sets")
-    rare = rarest_shingles(hidden_sets, hidden, percent)
-    for turn in range(STAR_TURNS):
-        stars = star_pairs(in_components(rare, reached), turn)
-        links = verified(likely_pairs(stars, originals, percent, keep), hidden_sets, percent)
-        if links.isEmpty():
-            break
-        labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        reached = connected_components(labels.union(links))
-
-    short = listed.filter(~is_long).join(common.select("doc_id", "hot"), "doc_id")
-    by_value = cross_pairs(in_components(short.select("value", "doc_id", "n", "hot"), reached), percent)
-    by_value = by_value.filter("lists >= least")
-    to_large, others = links_to_large(in_components(rare, reached), hidden_sets, percent)
-    by_shingle = cross_pairs(others, percent).filter("lists >= least_first")
-    rest = by_value.select("a", "b").union(by_shingle.select("a", "b")).distinct()
-    likely = likely_pairs(rest, originals, percent, keep)
-    more = verified(likely, sets_of(members_of(likely), texts, words), percent)
-    # Components are joined by links between their labels and between equal sets.
+    originals = saved(signed.filter("n > 0").join(equal, "doc_id", "left_anti"), "originals")
+
+    own = texts.join(originals.select("doc_id", "mark"), ["doc_id", "mark"]).select("doc_id", "text")
+    found = lists_of_keys(own, words, retained(keep), originals.agg(F.sum("n_bytes")).first()[0] or 0)
+    stars = best_hubs(found.filter(F.col("kind") == STARS))
+    hubs = overlaps(likely_pairs(stars, originals, percent, keep), originals, texts, words).filter(is_link(percent))
+    reached = connected_components(hubs.select("a", "b"))
+
+    hot = found.filter(F.col("kind") == COMMON).groupBy(F.col("a").alias("doc_id")).agg(F.sum("times").alias("hot"))
+    counted = originals.select("doc_id", "mark", "n").join(hot, "doc_id", "left").fillna(0, ["hot"])
+    counted = saved(counted, "counted")
+    listed = found.filter(F.col("kind") == KEYS).select(F.col("a").alias("value"), F.col("b").alias("doc_id")).distinct()
+    lists = pairs_of_lists(open_lists(listed, reached), counted.drop("mark"), percent)
+    lists = overlaps(likely_pairs(lists, originals, percent, keep), originals, texts, words)
+    reached = merged(reached, lists.filter(is_link(percent)))
+    crowded = saved(counted.filter(F.col("hot") >= needed(F.col("n"), percent)).select("doc_id", "mark"), "crowded")
+    reached = crowded_links(crowded, originals, texts, hubs, reached, words, percent)
+
+    # Components are joined by the links between equal sets.
     labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
     sets = equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    whole = connected_components(saved(labels.union(more).union(to_large).union(sets), "links"))
-
-    sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    whole = connected_components(saved(labels.union(sets), "links"))
     component = F.coalesce("component", "doc_id")
-    return sizes.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+    return signed.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )

@@ -64,6 +64,12 @@ def set_digests(sets: list[np.ndarray], others: list[np.ndarray]) -> tuple[pa.Ar
     return one, two
 
 
+def one_row_each(signed: DataFrame, *extra: str) -> DataFrame:
+    """Of rows that share an id the one with the largest set."""
+    best = F.max(F.struct("n", "set_1", "set_2", "mark", *extra)).alias("best")
+    return signed.groupBy("doc_id").agg(best, F.max("n_bytes").alias("n_bytes")).select("doc_id", "best.*", "n_bytes")
+
+
 def whole_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -138,6 +144,14 @@ def in_components(entries: DataFrame, reached: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def open_lists(listed: DataFrame, reached: DataFrame) -> DataFrame:
+    """Lists (value, doc_id) whose members are in several components, with these."""
+    entries = in_components(listed, reached)
+    mixed = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = saved(mixed.filter("low < high").select("value"), "lists")
+    return saved(entries.join(lists, "value", "left_semi"), "open")
+
+
 def merged(reached: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links (a, b)."""
     labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -263,13 +277,8 @@ def crowded_links(
     far = 1 - percent / 100
     sets = saved(sets_of(crowded, texts, words), "sets")
     rare = rarest_shingles(sets, percent)
-    entries = in_components(rare, reached).join(balls(stars), "doc_id", "left")
-    hub = F.coalesce("hub", "doc_id")
-    entries = entries.withColumns({"hub": hub, "off": F.coalesce("off", F.lit(0.0))})
-    # Lists in one component link nothing new.
-    mixed = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = saved(entries.join(saved(mixed.filter("low < high").select("value"), "lists"), "value", "left_semi"), "entries")
-
+    entries = open_lists(rare, reached).join(balls(stars), "doc_id", "left")
+    entries = saved(entries.withColumns({"hub": F.coalesce("hub", "doc_id"), "off": F.coalesce("off", F.lit(0.0))}), "entries")
     hubs = entries.select("value", "hub", "component").distinct()
     sizes = sized.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"))
     hubs = saved(hubs.join(sizes, "hub"), "hubs")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm.exact_dedup import exact_duplicates
-from tarn.llm.minhash_dedup import FREQUENCY_BUCKETS, bucket_counts, bucket_of, near_duplicates
+from tarn.llm.minhash_dedup import near_duplicates
+from tarn.llm.near_links import FREQUENCY_BUCKETS, bucket_counts, bucket_of
 from tarn.llm.queries import op5_minhash_near_dedup, op8_substring_dedup, op9_suffix_array_dedup
 from tarn.llm.shared import connected_components
 from tarn.llm.substring_dedup import remove_repeated_windows
@@ -144,6 +145,12 @@ def test_large_groups_of_differing_sizes(docs_of):
     assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
 
 
+def test_rows_that_share_an_id_count_once(spark):
+    rows = [(1, words(60)), (1, words(50, "other")), (2, words(50, "other")), (3, words(60)), (3, words(60))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, component long, value string")
+    assert near(near_duplicates(docs)) == {1: (56, 1, True), 2: (46, 2, True), 3: (56, 1, False)}
+
+
 def test_frequency_table_counts_every_shingle(spark, docs_of):
     sets = spark.range(2000).repartition(5).selectExpr("transform(sequence(1, 20), i -> xxhash64(id % 70, i)) AS shingles")
     values = np.concatenate([np.array(r.shingles) for r in sets.collect()])
