@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     lists = overlaps(likely_pairs(lists, originals, percent, keep), originals, texts, words)
     reached = merged(reached, lists.filter(is_link(percent)))
     crowded = saved(counted.filter(F.col("hot") >= needed(F.col("n"), percent)).select("doc_id", "mark"), "crowded")
-    reached = crowded_links(crowded, originals, texts, hubs, reached, words, percent)
+    likely = lambda pairs: likely_pairs(pairs, originals, percent, keep)
+    reached = crowded_links(crowded, originals, texts, hubs, reached, likely, words, percent)
 
     # Components are joined by the links between equal sets.
     labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))

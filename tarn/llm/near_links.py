@@ -2,15 +2,15 @@
 
 A *crowded* document is one whose index keys are so common that its partners
 cannot be read off the short lists. Such documents meet in the lists of their
-rarest shingles. There no list is expanded into all pairs: every document lies
-in the ball of a *hub* it was linked with, at a known Jaccard distance. First
-only the hubs of a list are compared. Distances obey the triangle inequality, so
-members of two balls can be within the bound only if their distances to their
-hubs make up for that between the hubs; the others are never paired.
+rarest shingles, in one order for all sets. Members outside a list's largest
+component are first compared with hubs of it. Then outsiders probe the lists for
+all others, and only at a shingle that may be the first one that a link shares:
+those of both sizes bound how far down the order it can lie.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +25,6 @@ from tarn.llm.shared import connected_components, hint_small, saved
 FREQUENCY_BUCKETS = 1 << 20
 # Entries of it in one row, where tables of tasks are added up.
 SLICE_BUCKETS = 1 << 10
-# Sums of distances are compared with this to spare.
-SLACK = 1e-9
 
 _SIGN = np.uint64(1 << 63)
 _FOLD = FOLDED.tobytes()
@@ -130,10 +128,6 @@ def is_link(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
 
 
-def distance() -> Column:
-    return 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-
-
 def close_sizes(n: Column, m: Column, percent: float) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -221,7 +215,13 @@ def pick_rarest(counts, percent: int):
             values = np.concatenate(first) if first else np.zeros(0, np.int64)
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(first)), lengths)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values), ids, pa.array(np.repeat(sizes, lengths).astype(np.int64))], names=["value", "doc_id", "n"]
+                [
+                    pa.array(values),
+                    ids,
+                    pa.array(np.repeat(sizes, lengths).astype(np.int64)),
+                    pa.array(np.concatenate([np.arange(n) for n in lengths]) if lengths else np.zeros(0, np.int64), pa.int32()),
+                ],
+                names=["value", "doc_id", "n", "place"],
             )
 
     return run
@@ -235,84 +235,70 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
     that each task finds them by itself and only they leave it.
     """
     counts = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets).astype(np.int64))
-    rare = saved(sets.mapInArrow(pick_rarest(counts, percent), "value long, doc_id long, n long"), "rarest")
+    rare = saved(sets.mapInArrow(pick_rarest(counts, percent), "value long, doc_id long, n long, place int"), "rarest")
     lists = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
     return saved(rare.join(saved(lists, "lists"), "value", "left_semi"), "rare")
 
 
-def first_needed(n: Column, m: Column, percent: int) -> Column:
-    """Rarest shingles that a link shares at least, of those that ``pick_rarest`` takes.
+# Crowded documents ----------------------------------------------------------
 
-    A link shares ``percent`` of ``100 + percent`` of both sizes. What it shares
-    beyond the shingles taken from both lies in the rest of one of the sets.
-    """
-    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
-    return F.greatest(F.lit(1), F.ceil((n + m) * percent / (100 + percent)) - rest).cast("long")
 
+def first_meetings(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be links, by the first shingle that both have.
 
-# Balls ----------------------------------------------------------------------
+    ``open_``: value, doc_id, n, place, component. A link of sizes n and m shares
+    ``need`` shingles. The first shared one, at some place of each order, is
+    followed by all the others, so at most ``n - need`` stand before it.
+    """
+    one, two = (
+        open_.select("value", *(F.col(c).alias(f"{short}{s}") for c, short in (("doc_id", ""), ("component", "c_"), ("n", "n_"), ("place", "p_"))))
+        for s in ("a", "b")
+    )
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    met = one.join(two, "value").filter(
+        (F.col("a") < F.col("b"))
+        & (F.col("c_a") != F.col("c_b"))
+        & (F.col("p_a") <= F.col("n_a") - need)
+        & (F.col("p_b") <= F.col("n_b") - need)
+        & close_sizes(F.col("n_a"), F.col("n_b"), percent)
+    )
+    return saved(met.select("a", "b").distinct(), "met")
 
 
-def balls(links: DataFrame) -> DataFrame:
-    """Of each document that a hub is linked with: its ``hub`` and the distance ``off``.
+def hub_pairs(open_: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members outside the largest component of each list, with its hub of most links so far.
 
-    ``links``: a (the hub), b, n_a, n_b, both. The hub with most links is taken.
+    They only spare work: what they don't link is compared all the same.
     """
-    ranked = links.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), distance().alias("off"))
-    degree = ranked.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    best = F.max_by(F.struct("hub", "off"), F.struct("members", -F.col("hub")))
-    found = ranked.join(degree, "hub").groupBy("doc_id").agg(best.alias("best")).select("doc_id", "best.hub", "best.off")
-    # A hub with members stays its own centre.
-    return saved(found.join(degree.select(F.col("hub").alias("doc_id")), "doc_id", "left_anti"), "balls")
+    by_component = open_.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
+    main = by_component.groupBy("value").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
+    placed = open_.join(saved(main, "main"), "value")
+    degree = stars.groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("degree"))
+    inside = placed.filter("component = main").join(saved(degree, "degree"), "doc_id", "left")
+    most = F.max_by("doc_id", F.struct(F.coalesce("degree", F.lit(0)), -F.col("doc_id")))
+    hubs = saved(inside.groupBy("value").agg(most.alias("a")), "hubs")
+    return placed.filter("component != main").join(hubs, "value").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def crowded_links(
-    crowded: DataFrame, sized: DataFrame, texts: DataFrame, stars: DataFrame, reached: DataFrame, words: int, percent: int
+    crowded: DataFrame,
+    sized: DataFrame,
+    texts: DataFrame,
+    stars: DataFrame,
+    reached: DataFrame,
+    likely: Callable[[DataFrame], DataFrame],
+    words: int,
+    percent: int,
 ) -> DataFrame:
     """Components once all links between crowded documents are known.
 
-    ``crowded``: doc_id, mark; ``stars``: links of hubs so far; ``reached``: the
-    components so far. Only documents of different components are compared.
+    ``crowded``: doc_id, mark; ``stars``: links of hubs (a) so far; ``reached``: the
+    components so far; ``likely`` leaves of pairs those that may be links. Only
+    documents of different components are compared.
     """
-    far = 1 - percent / 100
     sets = saved(sets_of(crowded, texts, words), "sets")
     rare = rarest_shingles(sets, percent)
-    entries = open_lists(rare, reached).join(balls(stars), "doc_id", "left")
-    entries = saved(entries.withColumns({"hub": F.coalesce("hub", "doc_id"), "off": F.coalesce("off", F.lit(0.0))}), "entries")
-    hubs = entries.select("value", "hub", "component").distinct()
-    sizes = sized.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"))
-    hubs = saved(hubs.join(sizes, "hub"), "hubs")
-    one, two = (hubs.select("value", F.col("hub").alias(s), F.col("component").alias(f"c_{s}"), F.col("n_hub").alias(f"n_{s}")) for s in "ab")
-    # Three times the bound lies between hubs at most, and sizes differ by no more than the distance.
-    near = close_sizes(F.col("n_a"), F.col("n_b"), max(0.0, 100 - 300 * far))
-    met = one.join(two, "value").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
-    met = saved(met.select("value", F.col("a").alias("hub_a"), F.col("b").alias("hub_b")), "met")
-    pairs = met.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")).distinct()
-    between = overlaps(pairs, sized, texts, words)
-    reached = merged(reached, between.filter(is_link(percent)))
-
-    # Of hubs too far apart no members are near. The others' members meet in the lists that both have.
-    apart = between.select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b"), distance().alias("apart"))
-    met = saved(met.join(apart.filter(F.col("apart") <= 3 * far + SLACK), ["hub_a", "hub_b"]), "apart")
-    entries = saved(in_components(entries.drop("component"), reached), "entries")
-    left, right = (
-        entries.select(
-            "value",
-            F.col("hub").alias(f"hub_{s}"),
-            F.col("doc_id").alias(s),
-            *(F.col(c).alias(f"{short}_{s}") for c, short in (("n", "n"), ("off", "off"), ("component", "c"))),
-        )
-        for s in ("a", "b")
-    )
-    # What lies between the hubs must come from both members' distances to them and the bound.
-    met = met.join(left, ["value", "hub_a"]).filter(F.col("apart") <= F.col("off_a") + 2 * far + SLACK)
-    met = met.join(right, ["value", "hub_b"]).filter(
-        (F.col("c_a") != F.col("c_b"))
-        & (F.col("off_a") + F.col("off_b") + far + SLACK >= F.col("apart"))
-        & close_sizes(F.col("n_a"), F.col("n_b"), percent)
-    )
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
-    met = met.withColumns({"n_a": F.least("n_a", "n_b"), "n_b": F.greatest("n_a", "n_b")})
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("lists"))
-    met = met.filter(F.col("lists") >= first_needed(F.col("n_a"), F.col("n_b"), percent))
+    links = overlaps(likely(hub_pairs(open_lists(rare, reached), stars)), sized, texts, words).filter(is_link(percent))
+    reached = merged(reached, links)
+    met = likely(first_meetings(open_lists(rare, reached), percent))
     return merged(reached, overlaps(met, sized, texts, words).filter(is_link(percent)))

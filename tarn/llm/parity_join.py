@@ -215,7 +215,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     listed = found.filter(F.col("kind") == KEYS).select(F.col("a").alias("value"), F.col("b").alias("doc_id"))
     listed = listed.distinct()
 
-    met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(listed.select("doc_id"))
+    bad = found.filter(F.col("kind") == COMMON).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("slot")).agg(F.sum("times").alias("bad"))
+    over = F.col("bad") > spare_segments(F.col("n"), F.col("slot"), percent)
+    crowded = saved(bad.join(originals, "doc_id").filter(over).select("doc_id", "mark").distinct(), "crowded")
+    met = crowded.select("doc_id").union(stars.select("a")).union(stars.select("b")).union(listed.select("doc_id"))
     met = saved(met.distinct(), "met")
     sketched = texts.join(originals.join(met, "doc_id").select("doc_id", "mark"), ["doc_id", "mark"]).select("doc_id", "text")
     sketched = sketched.mapInArrow(sketches(words), "doc_id long, sketch binary").dropDuplicates(["doc_id"])
@@ -226,10 +229,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     lists = likely_pairs(pairs_of_lists(listed, reached), sketched, percent)
     reached = merged(reached, overlaps(lists, originals, texts, words).filter(is_link(percent)))
 
-    bad = found.filter(F.col("kind") == COMMON).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("slot")).agg(F.sum("times").alias("bad"))
-    over = F.col("bad") > spare_segments(F.col("n"), F.col("slot"), percent)
-    crowded = saved(bad.join(originals, "doc_id").filter(over).select("doc_id", "mark").distinct(), "crowded")
-    reached = crowded_links(crowded, originals, texts, hubs, reached, words, percent)
+    likely = lambda pairs: likely_pairs(pairs, sketched, percent)
+    reached = crowded_links(crowded, originals, texts, hubs, reached, likely, words, percent)
 
     labels = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
     whole = connected_components(saved(labels.union(equal.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))), "links"))

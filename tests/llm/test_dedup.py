@@ -190,4 +190,3 @@ def test_long_words_of_equal_structure_are_told_apart(docs_of):
     docs = docs_of(texts)
     assert windows(remove_repeated_windows(docs)) == brute_windows(texts_of(docs))
     assert near(near_duplicates(docs, words=2)) == brute_near(texts_of(docs), 2)
-    assert near(near_duplicates(docs)) == brute_near(texts_of(docs), 5)
