@@ -5,9 +5,9 @@ are sorted whose next ``width`` bytes hold an anchor that another document holds
 too. Anchors are the strings of ``ANCHOR`` bytes whose hash is least among those
 of some window, so that a window which repeats always holds one that repeats.
 
-A bucket sorts the suffixes of its segments by doubling, takes the common
-prefixes of neighbours from the ranks of each doubling, and for every suffix the
-nearest ones of smaller documents before and after it in suffix order. The
+A bucket sorts the suffixes of its segments, notes what neighbours in suffix
+order share, and takes for every suffix the nearest ones of smaller documents
+before and after it in this order. The
 longer of the two common prefixes is the longest previous factor: how far the
 suffix repeats an earlier document. Where it reaches ``width`` bytes it goes.
 """
@@ -100,11 +100,11 @@ class ByteWindows:
         head[order] = order[first][group]
         heads = order[first]
         bounds, data = bounds_of(units), np.frombuffer(units.buffers()[2], np.uint8)
-        factors = previous_factors(data, bounds[:-1][heads], bounds[1:][heads], doc[heads])
+        factors = previous_factors(data, bounds[:-1][heads], bounds[1:][heads], doc[heads], windows[heads])
         lengths = np.diff(bounds)
         # Of every segment the factors of the one that it equals, or its whole length.
         base = np.zeros(len(doc), np.int64)
-        base[heads] = np.cumsum(lengths[heads]) - lengths[heads]
+        base[heads] = np.cumsum(windows[heads]) - windows[heads]
         segment, at = expand(np.arange(len(doc)), windows)
         found = np.where(doc[segment] > doc[head[segment]], lengths[segment] - at, factors[base[head[segment]] + at])
         hit = np.flatnonzero(found >= self.width)
@@ -120,49 +120,41 @@ def eight_bytes(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.nd
     return np.where(rest > 0, words >> beyond << beyond, np.uint64(0))
 
 
-def ranks_by_doubling(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 8, 16, 32, ... bytes, until all are told apart.
+def suffix_order(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and how many bytes each shares with the one before it.
 
-    ``places`` are the suffixes, those of a segment one after the other up to its
-    end. Suffixes that are equal up to their ends share a rank.
+    Eight bytes are compared at a time; only suffixes that agree so far take part
+    in the next round. Suffixes that are equal up to their ends stay together.
     """
-
-    def ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        order = np.lexsort((low, high))
-        new = np.append(False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
-        ranks = np.empty(len(order), np.int64)
-        ranks[order] = np.cumsum(new)
-        return ranks
-
-    rest = ends - places
-    levels = [ranked(eight_bytes(data, places, ends), np.minimum(rest, 8))]
-    width = 8
-    while width < int(rest.max(initial=0)) and int(levels[-1].max()) < len(places) - 1:
-        ranks = levels[-1]
-        # What ends earlier sorts before all that go on.
-        beyond = np.where(rest > width, ranks[np.minimum(np.arange(len(places)) + width, len(places) - 1)], -1)
-        levels.append(ranked(ranks, beyond))
-        width *= 2
-    return levels
-
-
-def common_prefixes(levels: list[np.ndarray], data, places, ends, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """How many bytes each suffix of ``one`` shares with that of ``two``, up to their ends."""
-    one, two = one.copy(), two.copy()
-    last = len(places) - 1
-    shared = np.zeros(len(one), np.int64)
-    rest = np.minimum(ends[one] - places[one], ends[two] - places[two])
-    for level in range(len(levels) - 1, -1, -1):
-        width = 8 << level
-        same = (levels[level][np.minimum(one + shared, last)] == levels[level][np.minimum(two + shared, last)]) & (shared < rest)
-        # Equal ranks near an end mean equal to the end.
-        shared += np.where(same, np.minimum(width, rest - shared), 0)
-    at_one, at_two = np.minimum(one + shared, last), np.minimum(two + shared, last)
-    differ = eight_bytes(data, places[at_one], ends[at_one]) ^ eight_bytes(data, places[at_two], ends[at_two])
-    same_bytes = np.zeros(len(one), np.int64)
-    for k in range(8):
-        same_bytes += (differ >> np.uint64(8 * (7 - k)) == 0).astype(np.int64)
-    return np.minimum(shared + np.where(shared < rest, same_bytes, 0), rest)
+    n = len(places)
+    order = np.arange(n)
+    shared = np.zeros(n, np.int64)
+    # Positions in ``order`` still to be told apart, and the run that each is in.
+    at, run, depth = np.arange(n), np.zeros(n, np.int64), 0
+    while len(at):
+        own = order[at]
+        begins = places[own] + depth
+        words, rest = eight_bytes(data, begins, ends[own]), np.minimum(ends[own] - begins, 8)
+        sort = np.argsort(words) if depth == 0 else np.lexsort((rest, words, run))
+        if depth == 0 and rest.min() < 8:
+            sort = np.lexsort((rest, words))
+        order[at], words, rest = own[sort], words[sort], rest[sort]
+        same_run = np.append(False, run[1:] == run[:-1])
+        differ = np.append(False, (words[1:] != words[:-1]) | (rest[1:] != rest[:-1]))
+        cut = np.flatnonzero(same_run & differ)
+        bits = words[cut] ^ words[cut - 1]
+        equal = np.zeros(len(cut), np.int64)
+        for k in range(8):
+            equal += bits >> np.uint64(8 * (7 - k)) == 0
+        shared[at[cut]] = depth + np.minimum(equal, np.minimum(rest[cut], rest[cut - 1]))
+        # What ends here and equals its neighbour shares all of itself.
+        done = same_run & ~differ & (rest < 8)
+        shared[at[done]] = depth + rest[done]
+        run = np.cumsum(~same_run | differ)
+        alone = np.append(run[1:] != run[:-1], True) & np.append(True, run[1:] != run[:-1])
+        open_ = ~alone & (rest == 8)
+        at, run, depth = at[open_], run[open_], depth + 8
+    return order, shared
 
 
 def nearest_smaller(values: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -184,19 +176,18 @@ def nearest_smaller(values: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
     return np.where(before >= 0, shared[:n], 0)
 
 
-def previous_factors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The longest previous factor of every suffix of the segments, in their order.
+def previous_factors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The longest previous factor of the first ``windows`` suffixes of each segment.
 
-    That is the most bytes that it shares with a suffix of a segment of a smaller
-    document, up to the ends of both segments.
+    That is the most bytes that it shares with such a suffix of a segment of a
+    smaller document, up to the ends of both segments. Suffixes that are shorter
+    than a window can neither repeat nor be repeated.
     """
-    segment, at = expand(np.arange(len(begins)), ends - begins)
+    segment, at = expand(np.arange(len(begins)), windows)
     if not len(segment):
         return np.zeros(0, np.int64)
     places, stops, owners = begins[segment] + at, ends[segment], docs[segment]
-    levels = ranks_by_doubling(data, places, stops)
-    order = np.lexsort((owners, levels[-1]))
-    prefixes = np.append(0, common_prefixes(levels, data, places, stops, order[:-1], order[1:]))
+    order, prefixes = suffix_order(data, places, stops)
     sorted_docs = owners[order]
     back = nearest_smaller(sorted_docs, prefixes)
     ahead = nearest_smaller(sorted_docs[::-1], np.append(0, prefixes[:0:-1]))[::-1]

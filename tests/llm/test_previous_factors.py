@@ -39,9 +39,10 @@ def test_factors_match_plain_comparison():
             data = np.frombuffer(b"".join(t for _, t in segments), np.uint8)
             ends = np.cumsum([len(t) for _, t in segments])
             begins = ends - [len(t) for _, t in segments]
-            found = previous_factors(data, begins, ends, np.array([d for d, _ in segments]))
+            found = previous_factors(data, begins, ends, np.array([d for d, _ in segments]), ends - begins)
             assert found.tolist() == plain_factors(segments)
-    assert len(previous_factors(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+    nothing = np.zeros(0, np.int64)
+    assert len(previous_factors(np.zeros(0, np.uint8), nothing, nothing, nothing, nothing)) == 0
 
 
 def around(middle: str, n: int, unit):
