@@ -9,6 +9,8 @@ many tokens there are and how many remain when texts are cut at the limit.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,11 @@ from tarn.llm.shared import saved
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's public encoder splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters that \s stands for there.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space from this many characters on is cut out before splitting.
+LONG_SPACE = 1000
+_LONG_SPACE = re.compile(f"[{SPACES}]{{{LONG_SPACE},}}")
 # Lengths summed in one task.
 LENGTHS_PER_GROUP = 4096
 
@@ -28,6 +35,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def without_long_space(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in stretches to split by the pattern, and long white space as pieces (true).
+
+    The pattern looks ahead from white space, which overflows the splitter's
+    stack where there is much of it. What it takes there is known: all of it at
+    the end of a text, else all but the last character, which goes on.
+    """
+    done = 0
+    for found in _LONG_SPACE.finditer(text):
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        yield text[done : found.start()], False
+        yield text[found.start() : end], True
+        done = end
+    yield text[done:], False
+
+
 def token_lengths(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """``doc_id`` and ``n_tokens`` of each row; a null text is empty, with none.
 
@@ -40,8 +63,15 @@ def token_lengths(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
         import tiktoken
 
         encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        one_piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})
+
+        def length(text: str) -> int:
+            if len(text) < LONG_SPACE:
+                return len(encoder.encode_ordinary(text))
+            return sum(len((one_piece if whole else encoder).encode_ordinary(part)) for part, whole in without_long_space(text))
+
         for batch in batches:
-            lengths = [len(encoder.encode_ordinary(text)) if text else 0 for text in batch.column("text").to_pylist()]
+            lengths = [length(text) if text else 0 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"]
             )
@@ -100,6 +130,11 @@ def limit_table(histogram: DataFrame, group: int = LENGTHS_PER_GROUP) -> DataFra
 
 
 def token_count_table(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """``limit_table`` of all rows of ``docs`` (``doc_id``, ``text``; others are ignored)."""
+    """``limit_table`` of all rows of ``docs`` (``doc_id``, ``text``; others are ignored).
+
+    A null or empty text has no tokens and counts as a document of length 0;
+    rows that repeat count each; texts may be of any length, also of white space
+    only. An empty table gives an empty result.
+    """
     # Written, so that its two uses encode the texts once.
     return limit_table(saved(length_histogram(token_lengths(docs, ranks_path)), "lengths"))

@@ -16,7 +16,7 @@ from tarn.llm.piece_viterbi import Encoder, decode_pieces, encode_pieces, read_m
 from tarn.llm import quality
 from tarn.llm.quality import quality_scores
 from tarn.llm.queries import URL_RULES, op2_token_counts
-from tarn.llm.token_counts import PATTERN, RANKS, limit_table, read_ranks, token_count_table
+from tarn.llm.token_counts import PATTERN, RANKS, limit_table, read_ranks, token_count_table, token_lengths
 from tarn.llm.toxicity import SEEN_IN, common_features, toxicity
 from tarn.llm.url_cascade import Cascade, filter_urls
 from tests.conftest import TESTDATA
@@ -44,6 +44,16 @@ def test_token_counts_cover_every_row(docs_of):
     assert token_count_table(docs_of([])).count() == 0
 
 
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(docs_of):
+    encoder = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    spaces = [" " * 1500, "\n" * 2000, " \t\xa0\u2003\n" * 400, "\x1c" * 1200, " " * 1000 + "\n"]
+    texts = [a + s + b + s for s in spaces for a in ("", "word", "it's ", "a 1") for b in ("", "next", "'s", "!x", "7", "\u200bz")]
+    rows = {r.doc_id: r.n_tokens for r in token_lengths(docs_of(texts)).collect()}
+    assert rows == {i: len(encoder.encode_ordinary(text)) for i, text in enumerate(texts)}
+    huge = [" " * 1_000_000, "\n" * 2_000_000 + "x", "a" * 1_000_000, f"x{' ' * 5_000_000}y"]
+    assert token_lengths(docs_of(huge)).filter("n_tokens > 0").count() == len(huge)
+
+
 def test_token_counts_match_a_plain_encoder_on_the_table(spark):
     folder = f"{TESTDATA}/sf0.001"
     encoder = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
