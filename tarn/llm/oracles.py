@@ -1,5 +1,52 @@
 """SQL that gives the rows of this package's queries in DuckDB, where whole tables allow it."""
 
+OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w]
+    ELSE [w[i:i + 1] FOR i IN range(1, len(w) - 0)] END) AS shingle
+  FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY shingle) AS s FROM shingles),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM numbered a JOIN numbered b ON a.s = b.s AND a.doc_id < b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN edges l ON l.a = r.b)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.a
+GROUP BY a
+"""
+
+OP8 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) AS seen FROM starts),
+again AS (
+  SELECT doc_id, pos FROM windows
+  QUALIFY row_number() OVER (PARTITION BY seen ORDER BY doc_id, pos) > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM again),
+lists AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         [w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)] AS rest
+  FROM words LEFT JOIN lists USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
 OP11 = r"""
 WITH doc_terms AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

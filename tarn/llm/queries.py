@@ -148,6 +148,8 @@ fits AS (
 SELECT parsed.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)
 """,
+    "op5_minhash_near_dedup": oracles.OP5,
+    "op8_substring_dedup": oracles.OP8,
     "op11_ranked_search": oracles.OP11,
     "op12_ngram_jaccard_join": oracles.OP12,
     "op13_merkle_manifest": oracles.OP13,
