@@ -14,7 +14,10 @@ import __spark_entry__ as contract
 from tests.conftest import SCALES, TESTDATA, rows_by_name
 
 # Spark type to the DuckDB type that the checker sees for the same values.
-SAME_TYPE = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "boolean": "BOOLEAN"}
+SAME_TYPE = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "boolean": "BOOLEAN", "int": "INTEGER"}
+# Queries whose SQL is quick on every scale; the SQL of the others is for the middle one.
+QUICK = {"pricing_summary", "op1_exact_dedup", "op7_url_filters"}
+CASES = [(n, s) for n in sorted(contract.oracle_sql()) for s in SCALES if n in QUICK or s == "sf0.01"]
 
 
 def test_entry_gives_the_six_groups(spark):
@@ -25,8 +28,7 @@ def test_sql_belongs_to_queries():
     assert {"pricing_summary"} <= contract.oracle_sql().keys() <= contract.queries().keys()
 
 
-@pytest.mark.parametrize("scale", SCALES)
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize(("name", "scale"), CASES)
 def test_query_matches_duckdb(spark, duck, name, scale):
     folder = f"{TESTDATA}/{scale}"
     views = {path.stem: str(path) for path in Path(folder).glob("*.parquet")}
@@ -50,7 +52,7 @@ def test_bench_prints_one_json_line():
         env={**os.environ, "BENCH_SF_DIR": f"{TESTDATA}/sf0.001", "BENCH_CPUS": "2", "BENCH_RUNS": "1", "BENCH_WARM_UPS": "0"},
         capture_output=True,
         text=True,
-        timeout=600,
+        timeout=1500,
         check=True,
     )
     (line,) = done.stdout.splitlines()
