@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,19 @@ def test_exact_groups(docs_of):
     assert {r.doc_id: r.text_sha256 for r in full}[5] == hashlib.sha256(b"c").hexdigest()
 
 
+def test_exact_groups_do_not_depend_on_the_bit_table(docs_of):
+    """A table of one word lets every text through; the rows are the same."""
+    texts = [f"{'p' * 70} {i % 50} {i // 100}" for i in range(400)] + [f"single {i} {'q' * (i % 9)}" for i in range(200)] + ["", None]
+    docs = docs_of(texts)
+    found = sorted(tuple(r) for r in exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", F.coalesce("text_sha256", F.lit("-"))).collect())
+    narrow = exact_duplicates(docs, table_words=1).select("doc_id", "keep_id", "group_size", "kept", F.coalesce("text_sha256", F.lit("-")))
+    assert sorted(tuple(r) for r in narrow.collect()) == found
+    bare = Counter("".join((t or "").split()) for t in texts)
+    assert {r[0]: r[2] for r in found} == {i: bare["".join((t or "").split())] for i, t in enumerate(texts)}
+    marks = Counter((len("".join((t or "").split())), "".join((t or "").split())[:64]) for t in texts)
+    assert {r[0] for r in found if r[4] == "-"} == {i for i, t in enumerate(texts) for b in ["".join((t or "").split())] if marks[len(b), b[:64]] == 1}
+
+
 @pytest.mark.parametrize("operator", [exact_duplicates, near_duplicates, remove_repeated_windows, remove_repeated_strings])
 def test_empty_tables_and_rows_without_id(spark, docs_of, operator):
     assert operator(docs_of([])).count() == 0
