@@ -271,11 +271,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     ``quality``; other columns are ignored. Trusted positives are documents with
     ``quality`` 1, unlabelled ones any; both samples have at most ``sample_rows``
     documents and none of those held out; bins and the prior come from all documents
-    that are not held out. Gives ``doc_id``, ``held_out``,
+    that are not held out. Of documents that share an id one is learnt from in a
+    sample; all are scored. Texts may be of any length. Gives ``doc_id``, ``held_out``,
     ``score`` (0 to 1) and ``predicted`` (1 if the score is at least
     ``threshold``), one row for each input row. A null text is empty, and an
     empty text is scored by its measures like any other. Rows without id are
-    scored and never learnt from. Without positives every score is one half.
+    scored and never learnt from. Without positives every score is one half. Empty
+    ``docs`` give an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -286,10 +288,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     every = measured.filter(learnt)
     positives = labels.filter(learnt & (F.col("quality") == 1)).select("doc_id").distinct()
     positives = bounded_sample(positives, sample_rows).withColumn("positive", F.lit(True))
-    unlabelled = bounded_sample(every.select("doc_id"), sample_rows).withColumn("positive", F.lit(False))
+    unlabelled = bounded_sample(every.select("doc_id").distinct(), sample_rows).withColumn("positive", F.lit(False))
     # Two lists of at most sample_rows ids each. The prior is estimated with halves.
     sample = positives.unionByName(unlabelled).withColumn("half", F.xxhash64("doc_id", F.lit(7)) % 2 == 0)
-    table = measured.join(F.broadcast(sample), "doc_id").toArrow()
+    # Of rows that share an id one is learnt from, so that the driver gets no more.
+    of_sample = measured.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive", "half")
+    table = of_sample.agg(F.max(F.struct(*MEASURES)).alias("values")).select("positive", "half", "values.*").toArrow()
     table = table.sort_by([(c, "ascending") for c in table.column_names])
     values = values_of(table)
     is_positive, half = table.column("positive").to_numpy(), table.column("half").to_numpy()

@@ -24,6 +24,10 @@ from tarn.llm.url_cascade import filter_urls
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+# The label columns of the tables, in the order of the classifier chain.
+CATEGORIES = ("quality", "toxic")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +43,7 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
-    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), categories=CATEGORIES)
 
 
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain over hashed words.
 
-Categories are predicted one after another. The model of each is linear in the
-words of a text (and their first letters, which catches inflected forms) and in
-the log-odds that the earlier models of the chain gave. Those are learnt from
-predictions out of fold: in training, a row's earlier probabilities come from
-models that did not see the row, as they do when new texts are scored.
+Categories are label columns that the caller names, and are predicted one after
+another. The model of each is linear in the words of a text (and their first
+letters, which catches inflected forms) and in the probabilities that the earlier
+models of the chain gave. Those are learnt from predictions out of fold: in
+training, a row's earlier probabilities come from models that did not see the
+row, as they do when new texts are scored.
 
 The chain is fitted on a bounded sample of labelled rows in numpy. Which features
 enough texts of the sample have is counted on Spark, and the driver gets those and
@@ -27,7 +28,7 @@ from tarn.llm.shared import saved
 # Labelled rows that the chain is fitted on at most.
 SAMPLE_ROWS = 12_000
 FOLDS = 3
-# Features that a model keeps, those that tell the category most surely.
+# Features that a model keeps at most, those that tell the category most surely.
 FEATURES = 3_000
 # Texts of the sample that must have a feature for it to be looked at.
 SEEN_IN = 3
@@ -37,50 +38,36 @@ HELD_FEATURES = 1_000_000
 BLOCK_TEXTS = 500
 PREFIX_BYTES = 6
 THRESHOLD = 0.5
-# Abusive words, which give weak labels for the first categories.
-ABUSIVE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-CATEGORIES = ("abusive", "heavily_abusive", "toxic")
-HEAVY = 3
 
 # Letters: ASCII ones and all bytes of longer characters.
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of every feature of the texts; the word hashes by themselves."""
+def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every feature of the texts."""
     words = Words(data, offsets, IS_LETTER[data])
     whole, start = words.hashes(data, fold=True), mix(words.hashes(data, fold=True, most=PREFIX_BYTES), 9)
     rows = words.rows()
-    return np.concatenate((rows, rows)), np.concatenate((whole, start)), whole
-
-
-def hash_words(words: tuple[str, ...]) -> np.ndarray:
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    return Words(data, np.array([0, len(data)]), IS_LETTER[data]).hashes(data, fold=True)
+    return np.concatenate((rows, rows)), np.concatenate((whole, start))
 
 
 def extract(batches):
-    """For the labelled sample: distinct features of each text, abusive words."""
-    abusive = hash_words(ABUSIVE)
+    """For the labelled sample: the distinct features of each text."""
     for batch in batches:
-        features, counts = [], []
+        features = []
         for first, last, data, offsets in slices(batch.column("text")):
-            rows, hashes, whole = word_features(data, offsets)
-            n = last - first
-            counts.extend(np.bincount(rows[: len(whole)][np.isin(whole, abusive)], minlength=n).tolist())
+            rows, hashes = word_features(data, offsets)
             order = np.argsort(rows, kind="stable")
-            bounds = np.searchsorted(rows[order], np.arange(n + 1))
+            bounds = np.searchsorted(rows[order], np.arange(last - first + 1))
             features.extend(np.unique(hashes[order[a:b]]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(counts, pa.int64()), pa.array(features, pa.binary())],
-            names=["doc_id", "toxic", "n_abusive", "features"],
-        )
+        columns = [batch.column("doc_id"), batch.column("marks"), pa.array(features, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "marks", "features"])
 
 
 @dataclass
 class Model:
-    """Weights of feature hashes (sorted), of earlier log-odds, and a constant."""
+    """Weights of feature hashes (sorted), of earlier probabilities, and a constant."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -135,8 +122,8 @@ def number_features(vocabulary):
                 own = np.frombuffer(own, np.uint64)
                 at = np.searchsorted(features, own)
                 numbers.append(at[np.append(features, np.uint64(0))[at] == own].astype(np.int32).tobytes())
-            columns = [batch.column(c) for c in ("doc_id", "toxic", "n_abusive")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.binary())], names=["doc_id", "toxic", "n_abusive", "numbers"])
+            columns = [batch.column("doc_id"), batch.column("marks"), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "marks", "numbers"])
 
     return run
 
@@ -207,82 +194,91 @@ def fit(texts: Texts, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -
     return Model(texts.vocabulary[chosen], w[:k], w[k:-1], float(w[-1]))
 
 
-def fit_chain(vocabulary: np.ndarray, sample: pa.Table) -> list[Model]:
-    """One model for each category, each fed the earlier ones' log-odds out of fold."""
-    n = len(sample)
-    texts = Texts(vocabulary, sample.column("numbers").to_pylist())
-    abusive = sample.column("n_abusive").to_numpy()
-    labels = {
-        "abusive": abusive > 0,
-        "heavily_abusive": abusive >= HEAVY,
-        "toxic": sample.column("toxic").to_numpy() > 0,
-    }
+def fit_chain(texts: Texts, labels: np.ndarray) -> list[Model]:
+    """One model for each column of ``labels``, fed the earlier ones' probabilities out of fold.
+
+    A model learns from the rows that have its label; others are NaN.
+    """
+    n = len(texts)
     fold = mix(np.arange(n, dtype=np.uint64), 17) % np.uint64(FOLDS)
     earlier = np.zeros((n, 0))
     chain = []
-    for category in CATEGORIES:
-        label = labels[category].astype(float)
-        chain.append(fit(texts, earlier, label, np.ones(n, bool)))
-        out_of_fold = np.zeros(n)
+    for label in labels.T:
+        known = ~np.isnan(label)
+        label = np.where(known, label, 0)
+        chain.append(fit(texts, earlier, label, known))
+        out_of_fold = texts.log_odds(chain[-1], earlier)
         for k in range(FOLDS):
             held = fold == k
-            if held.any() and not held.all():
-                model = fit(texts, earlier, label, ~held)
-                out_of_fold[held] = texts.log_odds(model, earlier)[held]
-        earlier = np.column_stack((earlier, np.clip(out_of_fold, -6, 6)))
+            if held.any() and (known & ~held).any():
+                out_of_fold[held] = texts.log_odds(fit(texts, earlier, label, known & ~held), earlier)[held]
+        earlier = np.column_stack((earlier, sigmoid(out_of_fold)))
     return chain
 
 
-def score_with(chain, threshold: float):
+def score_with(chain, categories: tuple[str, ...], threshold: float):
     def run(batches):
         models = chain.value
         for batch in batches:
-            found = [[] for _ in CATEGORIES]
+            found = [np.zeros((0, len(models)))]
             for first, last, data, offsets in slices(batch.column("text")):
-                rows, hashes, _ = word_features(data, offsets)
+                rows, hashes = word_features(data, offsets)
                 earlier = np.zeros((last - first, 0))
-                for model, scores in zip(models, found, strict=True):
+                for model in models:
                     odds = model.log_odds(last - first, rows, hashes, earlier)
-                    scores.append(sigmoid(odds))
-                    earlier = np.column_stack((earlier, np.clip(odds, -6, 6)))
-            columns = [np.concatenate(s) if s else np.zeros(0) for s in found]
+                    earlier = np.column_stack((earlier, sigmoid(odds)))
+                found.append(earlier)
+            scores = np.concatenate(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, columns), pa.array(columns[-1] >= threshold)],
-                names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"],
+                [batch.column("doc_id"), *map(pa.array, scores.T.copy()), pa.array(scores[:, -1] >= threshold)],
+                names=["doc_id", *(f"p_{c}" for c in categories), "toxic"],
             )
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    threshold: float = THRESHOLD,
+    categories: tuple[str, ...] = ("toxic",),
+) -> DataFrame:
     """Probability of each category and the verdict for every document.
 
-    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``toxic``
-    (0 or 1); other columns are ignored. Gives ``doc_id``, ``p_abusive``,
-    ``p_heavily_abusive``, ``p_toxic`` and ``toxic`` (``p_toxic`` at least
-    ``threshold``), one row for each input row. The chain learns from at most
-    ``sample_rows`` labelled documents; labels that are null or without a document
-    are left out, and of several for a document the highest counts. A null or
-    empty text gets the models' constants. Without any label all probabilities
-    are one half, and no document is toxic.
+    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and a column
+    (0 or 1) for each of ``categories``, in the order of the chain; other columns
+    are ignored. Gives ``doc_id``, ``p_`` and its name for each category, and
+    ``toxic`` (the last probability is at least ``threshold``), one row for each
+    input row. The chain learns from at most ``sample_rows`` labelled documents
+    and keeps ``FEATURES`` words and word beginnings for each category. A label
+    may be null, and its row is then learnt from for the other categories only;
+    rows without any label or without a document are left out. Of several labels
+    for a document the highest counts, and of several documents that share a
+    labelled id one is learnt from; all are scored. A null or empty text gets the
+    models' constants, and texts may be of any length. Without any label all
+    probabilities are one half, and no document is toxic. Empty ``docs`` give an
+    empty result.
     """
     spark = docs.sparkSession
-    labelled = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    marks = [F.max(F.col(c).cast("double")).alias(c) for c in categories]
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.coalesce(*categories).isNotNull()).groupBy("doc_id").agg(*marks)
+    labelled = labelled.select("doc_id", F.array(*categories).alias("marks"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Bounded by sample_rows, so that it can be broadcast.
     sample = F.broadcast(bounded_sample(labelled, sample_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = texts.join(sample, "doc_id").select("doc_id", "toxic", "text")
-    known = saved(known.mapInArrow(extract, f"doc_id {kind}, toxic long, n_abusive long, features binary"), "features")
+    known = texts.join(sample, "doc_id").groupBy("doc_id", "marks").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    known = saved(known.mapInArrow(extract, f"doc_id {kind}, marks array<double>, features binary"), "features")
     vocabulary = common_features(known)
     numbered = number_features(spark.sparkContext.broadcast(vocabulary))
-    table = known.mapInArrow(numbered, f"doc_id {kind}, toxic long, n_abusive long, numbers binary").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("numbers", "ascending")])
-    chain = fit_chain(vocabulary, table)
-    if not len(table):
+    table = known.mapInArrow(numbered, f"doc_id {kind}, marks array<double>, numbers binary").toArrow()
+    table = table.sort_by([("doc_id", "ascending")])
+    found = [[np.nan if mark is None else mark for mark in row] for row in table.column("marks").to_pylist()]
+    found = np.array(found, float).reshape(-1, len(categories))
+    chain = fit_chain(Texts(vocabulary, table.column("numbers").to_pylist()), found)
+    if np.isnan(found[:, -1]).all():
         threshold = 2.0
-    columns = ", ".join(f"p_{c} double" for c in CATEGORIES)
-    scored = texts.mapInArrow(
-        score_with(spark.sparkContext.broadcast(chain), threshold), f"doc_id {kind}, {columns}, toxic boolean"
-    )
-    return scored
+    columns = ", ".join(f"p_{c} double" for c in categories)
+    score = score_with(spark.sparkContext.broadcast(chain), tuple(categories), threshold)
+    return texts.mapInArrow(score, f"doc_id {kind}, {columns}, toxic boolean")

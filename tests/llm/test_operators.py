@@ -14,6 +14,7 @@ import corpus_pipeline
 from tarn.llm.decontamination import contaminated, word_list
 from tarn.llm.piece_viterbi import Encoder, decode_pieces, encode_pieces, read_model, MODEL
 from tarn.llm import quality
+from tarn.llm import toxicity as toxicity_module
 from tarn.llm.quality import quality_scores
 from tarn.llm.queries import URL_RULES, op2_token_counts
 from tarn.llm.token_counts import PATTERN, RANKS, limit_table, read_ranks, token_count_table, token_lengths
@@ -180,6 +181,59 @@ def test_toxicity_finds_abuse_in_unlabelled_documents(spark, docs_of):
     assert toxicity(docs_of([]), labels).count() == 0
 
 
+def test_chain_over_three_label_columns(spark, docs_of):
+    """Each model is fed the earlier categories; a null label counts for the others only."""
+    rude, threat = (lambda i: i % 2 == 0), (lambda i: i % 3 == 0)
+    text = lambda i: f"{'stupid' if rude(i) else 'kind'} {'beware' if threat(i) else 'gentle'} reader {i % 7}"
+    mark = lambda i, k: None if i % 11 == k else int((rude(i), threat(i), rude(i) and threat(i))[k])
+    labels = spark.createDataFrame([(i, *(mark(i, k) for k in range(3))) for i in range(240)], "doc_id long, rude int, threat int, both int")
+    docs = docs_of([text(i) for i in range(300)] + [None])
+    seen = []
+    chain = toxicity_module.fit_chain
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity_module, "fit_chain", lambda *a: seen.append(chain(*a)) or seen[0])
+        rows = {r.doc_id: r for r in toxicity(docs, labels, categories=("rude", "threat", "both")).collect()}
+    assert [len(model.earlier) for model in seen[0]] == [0, 1, 2]
+    assert (seen[0][2].earlier > 0).all()
+    for i in range(240, 300):
+        assert ((rows[i].p_rude > 0.5), (rows[i].p_threat > 0.5), rows[i].toxic) == (rude(i), threat(i), rude(i) and threat(i))
+    assert len(rows) == 301
+
+
+def test_probabilities_are_those_of_the_models(spark, docs_of):
+    """Scores of a table against a plain loop over its words with the fitted weights."""
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 4 < 2)) for i in range(80)], "doc_id long, toxic int, quality int")
+    texts = [f"{'Stupidly worthless' if i % 2 else 'kind'} {'neat' if i % 4 < 2 else 'odd'} text {'x' * (i % 5)}" for i in range(90)] + ["", None]
+    seen = []
+    chain = toxicity_module.fit_chain
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity_module, "fit_chain", lambda *a: seen.append(chain(*a)) or seen[0])
+        rows = {r.doc_id: r for r in toxicity(docs_of(texts), labels, categories=("quality", "toxic")).collect()}
+    for i, text in enumerate(texts):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        features = set(toxicity_module.word_features(data, np.array([0, len(data)]))[1].tolist()) if len(data) else set()
+        earlier = []
+        for model in seen[0]:
+            odds = model.constant + sum(w * p for w, p in zip(model.earlier, earlier, strict=True))
+            odds += sum(w for h, w in zip(model.hashes.tolist(), model.weights, strict=True) if h in features)
+            earlier.append(1 / (1 + np.exp(-odds)))
+        assert (rows[i].p_quality, rows[i].p_toxic) == pytest.approx(earlier)
+
+
+def test_a_repeated_labelled_id_adds_one_row(spark, monkeypatch):
+    """One labelled id in 3,000 rows: what comes to the driver stays within the sample."""
+    rows = [(1, f"stupid row {i}") for i in range(3_000)] + [(i, f"{'stupid' if i % 2 else 'kind'} text") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, toxic long, quality long")
+    sizes = []
+    chain, additive = toxicity_module.fit_chain, quality.fit
+    monkeypatch.setattr(toxicity_module, "fit_chain", lambda texts, found: sizes.append(len(texts)) or chain(texts, found))
+    monkeypatch.setattr(quality, "fit", lambda model, good, web, prior: sizes.extend((len(good), len(web))) or additive(model, good, web, prior))
+    assert toxicity(docs, labels).count() == len(rows)
+    assert quality_scores(docs, labels).count() == len(rows)
+    assert max(sizes) <= 39
+
+
 def test_toxicity_learns_from_12000_labelled_rows(spark):
     """A form in five labelled texts only, all of them after the first 6,000 of the sample."""
     ids = [r[0] for r in spark.range(9_000).orderBy(F.xxhash64("id"), "id").collect()]
@@ -241,6 +295,7 @@ def test_pipeline_keeps_clean_documents_and_columns(spark):
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() == docs.count()
     assert {r.doc_id for r in whole.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert whole.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and whole.filter("not round_trip").isEmpty()
 
 
 def test_pipeline_stages_match_brute_force(spark, docs_of):
