@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tarn.llm.decontamination import contaminated
 from tarn.llm.exact_dedup import exact_duplicates
 from tarn.llm.minhash_dedup import near_duplicates
-from tarn.llm.piece_viterbi import encode_pieces
-from tarn.llm.queries import table
+from tarn.llm.piece_viterbi import decode_pieces, encode_pieces
+from tarn.llm.queries import CATEGORIES, table
 from tarn.llm.shared import hint_small, saved, ship_package
 from tarn.llm.toxicity import toxicity
 
@@ -29,7 +29,7 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return without(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("toxic"))
+    return without(docs, toxicity(docs, table(spark, sf_dir, "labels"), categories=CATEGORIES).filter("toxic"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` of each document."""
+    """``doc_id``, ``n_tokens`` and ``ids`` of each document, and whether they decode to its text."""
     ship_package(spark)
-    return encode_pieces(docs).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+    decoded = decode_pieces(encode_pieces(docs))
+    return decoded.select(
+        "doc_id", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip")
+    )
 
 
 STAGES = [
