@@ -11,9 +11,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
-    """Weights after ``steps`` of Adam from zero; ``gradient`` takes weights and step."""
-    weights, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)
+def descend(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:
+    """Weights after ``steps`` of Adam from ``start``."""
+    weights, mean, square = start.copy(), np.zeros(len(start)), np.zeros(len(start))
     for step in range(1, steps + 1):
         slope = gradient(weights)
         mean = 0.9 * mean + 0.1 * slope

@@ -10,9 +10,11 @@ non-negative estimator). The prior is estimated from the same two samples: the
 largest share of positives that is consistent with how often each sample reaches
 high scores, on a part that the scores were not fitted on.
 
-The model is additive over measures of a text's form, each cut into bins. Weights
-are fitted on bounded samples; where bins are cut and how many documents reach
-high scores is counted over all of them. Measures are taken once and written.
+The model is additive over measures of a text's form, each cut into bins. Only
+the labelled positives are a bounded sample: each step of the fit adds up the
+slopes of all unlabelled documents on Spark, and where bins are cut and how many
+documents reach high scores is counted over all of them too. Measures are taken
+once and written; steps read the places of bins, two bytes for each measure.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from tarn.llm.linear import bounded_sample, descend, sigmoid
 from tarn.llm.rolling import IS_SPACE, Words, slices
 from tarn.llm.shared import saved
 
-# Documents of each sample that the model is fitted on at most.
+# Labelled positives that the model is fitted on at most.
 SAMPLE_ROWS = 12_000
+# Steps of the fit that estimates the prior, and of the one after it that goes on from there.
+FIRST_STEPS, STEPS, RATE = 20, 40, 0.3
+# Slopes are added as integers with so many fraction bits: no order of addition changes a weight.
+SLOPE_BITS = 24
 # Bins are finer at the ends, where texts of unusual form are.
 QUANTILES = (0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.86, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99)
 THRESHOLD = 0.7
@@ -205,30 +211,66 @@ class Additive:
         return self.weights[self.indicators(values)].sum(axis=1) + self.weights[-1]
 
 
-def fit(model: Additive, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Additive:
-    """The non-negative estimator of the risk, with sigmoid loss.
+def spread(places: np.ndarray, slope: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows' slopes at each weight, the last of which all rows have."""
+    each = np.bincount(places.ravel(), np.repeat(slope, places.shape[1]), minlength=size)
+    each[-1] = slope.sum()
+    return each
 
-    The loss is bounded: under an unbounded one the surest positives would weigh
-    so much that a small error of the prior hides all bad texts.
-    """
-    size = len(model.weights)
-    p, u = model.indicators(positive), model.indicators(unlabelled)
 
-    def spread(places, slope):
-        each = np.bincount(places.ravel(), np.repeat(slope, places.shape[1]), minlength=size)
-        each[-1] = slope.sum()
-        return each
+def place_blocks(rows: DataFrame, model: Additive) -> DataFrame:
+    """The places of the bins of all ``rows`` (measures and half), many rows packed into one."""
+
+    def pack(batches):
+        for batch in batches:
+            places, half = model.indicators(values_of(batch)), batch.column("half").to_numpy(zero_copy_only=False)
+            packed = [places[half == side].astype(np.uint16).tobytes() for side in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array(packed, pa.binary())], names=["half", "places"])
+
+    return rows.select("half", *MEASURES).mapInArrow(pack, "half boolean, places binary")
+
+
+def mean_slopes(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Means over all documents of ``blocks``: of the score's slope at each weight, and of the score."""
+    size = len(weights)
+
+    def add(batches):
+        sums = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            for packed in batch.column("places"):
+                places = np.frombuffer(packed.as_buffer(), np.uint16).reshape(-1, len(MEASURES))
+                score = sigmoid(weights[places].sum(axis=1) + weights[-1])
+                slope, whole = (np.rint(x * 2.0**SLOPE_BITS) for x in (score * (1 - score), score))
+                sums[:size] += spread(places, slope, size).astype(np.int64)
+                sums[size:] += int(whole.sum()), len(places)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2, dtype=np.int32)), pa.array(sums)], names=["place", "total"])
+
+    of_tasks = blocks.select("places").mapInArrow(add, "place int, total long")
+    table = of_tasks.groupBy("place").agg(F.sum("total").alias("total")).toArrow()
+    sums = np.zeros(size + 2)
+    sums[table.column("place").to_numpy()] = table.column("total").to_numpy()
+    means = sums[:-1] / 2.0**SLOPE_BITS / max(sums[-1], 1)
+    return means[:-1], means[-1]
+
+
+def fit(model: Additive, positive: np.ndarray, unlabelled: DataFrame, prior: float, steps: int) -> Additive:
+    """The non-negative estimator of the risk, with sigmoid loss, from the weights of ``model`` on.
+
+    ``unlabelled`` are blocks of places. The loss is bounded: under an unbounded
+    one the surest positives would weigh so much that a small error of the prior
+    hides all bad texts.
+    """
+    p = model.indicators(positive)
 
     def gradient(w):
-        as_p, as_u = sigmoid(w[p].sum(axis=1) + w[-1]), sigmoid(w[u].sum(axis=1) + w[-1])
-        as_bad = as_u.mean() - prior * as_p.mean()
-        steep_p, steep_u = as_p * (1 - as_p), as_u * (1 - as_u)
-        bad = spread(u, steep_u) / len(u) - prior * spread(p, steep_p) / len(p)
-        good = -prior * spread(p, steep_p) / len(p)
-        slope = good + bad if as_bad >= 0 else -bad
+        as_p = sigmoid(w[p].sum(axis=1) + w[-1])
+        slope_u, as_u = mean_slopes(unlabelled, w)
+        good = -prior * spread(p, as_p * (1 - as_p), len(w)) / len(p)
+        bad = slope_u + good
+        slope = good + bad if as_u >= prior * as_p.mean() else -bad
         return slope + 1e-4 * np.append(w[:-1], 0)
 
-    return Additive(model.edges, descend(gradient, size, 300, 0.05))
+    return Additive(model.edges, descend(gradient, model.weights, steps, RATE))
 
 
 def estimate_prior(model: Additive, positive: np.ndarray, unlabelled: DataFrame) -> float:
@@ -269,10 +311,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and
     ``quality``; other columns are ignored. Trusted positives are documents with
-    ``quality`` 1, unlabelled ones any; both samples have at most ``sample_rows``
-    documents and none of those held out; bins and the prior come from all documents
-    that are not held out. Of documents that share an id one is learnt from in a
-    sample; all are scored. Texts may be of any length. Gives ``doc_id``, ``held_out``,
+    ``quality`` 1, at most ``sample_rows`` of them; unlabelled ones are all
+    documents. None of those held out is learnt from. Of positives that share an id
+    one is learnt from; repeated rows are scored each, and count as unlabelled each.
+    Texts may be of any length. Gives ``doc_id``, ``held_out``,
     ``score`` (0 to 1) and ``predicted`` (1 if the score is at least
     ``threshold``), one row for each input row. A null text is empty, and an
     empty text is scored by its measures like any other. Rows without id are
@@ -285,25 +327,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{m} double" for m in MEASURES)
     measured = saved(texts.mapInArrow(extract, f"doc_id {kind}, {columns}"), "measures")
-    every = measured.filter(learnt)
+    # The prior is estimated with halves.
+    every = measured.filter(learnt).withColumn("half", F.xxhash64("doc_id", F.lit(7)) % 2 == 0)
     positives = labels.filter(learnt & (F.col("quality") == 1)).select("doc_id").distinct()
-    positives = bounded_sample(positives, sample_rows).withColumn("positive", F.lit(True))
-    unlabelled = bounded_sample(every.select("doc_id").distinct(), sample_rows).withColumn("positive", F.lit(False))
-    # Two lists of at most sample_rows ids each. The prior is estimated with halves.
-    sample = positives.unionByName(unlabelled).withColumn("half", F.xxhash64("doc_id", F.lit(7)) % 2 == 0)
+    positives = F.broadcast(bounded_sample(positives, sample_rows))
     # Of rows that share an id one is learnt from, so that the driver gets no more.
-    of_sample = measured.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive", "half")
-    table = of_sample.agg(F.max(F.struct(*MEASURES)).alias("values")).select("positive", "half", "values.*").toArrow()
+    table = every.join(positives, "doc_id").groupBy("doc_id", "half").agg(F.max(F.struct(*MEASURES)).alias("values"))
+    table = table.select("half", "values.*").toArrow()
     table = table.sort_by([(c, "ascending") for c in table.column_names])
-    values = values_of(table)
-    is_positive, half = table.column("positive").to_numpy(), table.column("half").to_numpy()
-    good, web = values[is_positive], values[~is_positive]
+    values, half = values_of(table), table.column("half").to_numpy()
     model = Additive.over(quantile_edges(every))
-    first, rest, other = values[is_positive & half], values[is_positive & ~half], values[~is_positive & half]
-    if len(first) and len(rest) and len(other):
-        fitted = F.broadcast(unlabelled.filter(F.xxhash64("doc_id", F.lit(7)) % 2 == 0).select("doc_id"))
-        prior = estimate_prior(fit(model, first, other, 0.5), rest, every.join(fitted, "doc_id", "left_anti"))
-        model = fit(model, good, web, prior)
+    if half.any() and not half.all():
+        # Read by each step and small; a lost part is made again from the measures.
+        blocks = place_blocks(every, model).persist()
+        model = fit(model, values[half], blocks.filter("half"), 0.5, FIRST_STEPS)
+        prior = estimate_prior(model, values[~half], every.filter("not half"))
+        model = fit(model, values, blocks, prior, STEPS)
+        blocks.unpersist()
     scored = measured.mapInArrow(
         score_with(spark.sparkContext.broadcast(model), threshold), f"doc_id {kind}, score double, predicted int"
     )

@@ -190,7 +190,7 @@ def fit(texts: Texts, earlier: np.ndarray, label: np.ndarray, use: np.ndarray) -
         slope[:-1] += 1e-4 * w[:-1]
         return slope
 
-    w = descend(gradient, k + extra.shape[1] + 1, 150, 0.1)
+    w = descend(gradient, np.zeros(k + extra.shape[1] + 1), 150, 0.1)
     return Model(texts.vocabulary[chosen], w[:k], w[k:-1], float(w[-1]))
 
 

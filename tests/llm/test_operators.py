@@ -228,7 +228,7 @@ def test_a_repeated_labelled_id_adds_one_row(spark, monkeypatch):
     sizes = []
     chain, additive = toxicity_module.fit_chain, quality.fit
     monkeypatch.setattr(toxicity_module, "fit_chain", lambda texts, found: sizes.append(len(texts)) or chain(texts, found))
-    monkeypatch.setattr(quality, "fit", lambda model, good, web, prior: sizes.extend((len(good), len(web))) or additive(model, good, web, prior))
+    monkeypatch.setattr(quality, "fit", lambda model, good, *rest: sizes.append(len(good)) or additive(model, good, *rest))
     assert toxicity(docs, labels).count() == len(rows)
     assert quality_scores(docs, labels).count() == len(rows)
     assert max(sizes) <= 39
@@ -261,8 +261,27 @@ def test_quality_on_held_out_labels(spark, docs_of):
     assert [r.score for r in empty] == [0.5, 0.5]
 
 
-def test_quality_bins_and_prior_come_from_all_documents(docs_of, monkeypatch):
-    """One text in fifty is good, and 200 of the unlabelled are sampled."""
+def test_quality_slopes_are_those_of_all_documents(spark):
+    """Against a plain sum over the rows, dealt over several tasks."""
+    pick = np.random.default_rng(3)
+    rows = pick.normal(size=(3_000, len(quality.MEASURES)))
+    model = quality.Additive.over([np.unique(np.quantile(c, [0.2, 0.5, 0.9])) for c in rows.T])
+    weights = pick.normal(size=len(model.weights))
+    table = spark.createDataFrame([(i % 3 == 0, *map(float, r)) for i, r in enumerate(rows)], ["half", *quality.MEASURES])
+    blocks = quality.place_blocks(table.repartition(7), model)
+    for part, use in ((blocks, rows), (blocks.filter("half"), rows[::3]), (blocks.filter("half is null"), rows[:0])):
+        slopes, mean = np.zeros(len(weights)), 0.0
+        for places in model.indicators(use) if len(use) else ():
+            score = 1 / (1 + np.exp(-weights[places].sum() - weights[-1]))
+            for place in (*places, -1):
+                slopes[place] += score * (1 - score) / len(use)
+            mean += score / len(use)
+        found, score = quality.mean_slopes(part, weights)
+        assert found == pytest.approx(slopes, abs=1e-6) and score == pytest.approx(mean, abs=1e-6)
+
+
+def test_quality_learns_from_all_documents(docs_of, monkeypatch):
+    """One text in fifty is good, and few positives are sampled."""
     pick = np.random.default_rng(5)
     good = lambda: " ".join(pick.choice(["plain", "words", "of", "a", "calm", "text"], 30)) + "."
     junk = lambda: " ".join(pick.choice(["$$$", "BUY", "@@", "99", "NOW!"], 30))
@@ -272,7 +291,7 @@ def test_quality_bins_and_prior_come_from_all_documents(docs_of, monkeypatch):
     whole, cut = quality.estimate_prior, quality.quantile_edges
     monkeypatch.setattr(quality, "estimate_prior", lambda *a: priors.append(whole(*a)) or priors[0])
     monkeypatch.setattr(quality, "quantile_edges", lambda d: edges.append((cut(d), d.toPandas())) or edges[0][0])
-    rows = quality_scores(docs, labels, sample_rows=200).collect()
+    rows = quality_scores(docs, labels, sample_rows=30).collect()
     assert 0.01 < priors[0] < 0.03
     assert len(edges[0][1]) > 2_900
     for name, found in zip(quality.MEASURES, edges[0][0], strict=True):
@@ -281,6 +300,7 @@ def test_quality_bins_and_prior_come_from_all_documents(docs_of, monkeypatch):
         assert all(np.min(np.abs(found - x)) <= 0.001 * x + quality.LEAST * 1.001 for x in exact)
     assert len(rows) == 4_000
     assert min(r.score for r in rows if r.doc_id % 50 == 0) > max(r.score for r in rows if r.doc_id % 50)
+    assert all(r.predicted == (r.doc_id % 50 == 0) for r in rows)
     assert all(r.predicted == (r.doc_id % 50 == 0) for r in quality_scores(docs, labels).collect())
 
 
