@@ -155,7 +155,7 @@ def match_keys(table: pa.Table) -> pa.Table:
             "kind": kind,
             "a": np.concatenate((stars[:, 0], bucket | codes[listed].astype(np.int64), bad[:, 0])),
             "b": np.concatenate((stars[:, 1], docs[listed], bad[:, 1])),
-            "times": np.concatenate((n_stars, np.ones(int(listed.sum()), np.int64), n_bad)),
+            "times": np.concatenate((n_stars, slots[listed].astype(np.int64), n_bad)),
         }
     )
 
@@ -167,7 +167,8 @@ def lists_of_keys(texts: DataFrame, words: int, keys_of: Callable, n_bytes: int)
     shingle hashes of a set and gives its keys, a small number (*slot*) for each
     and, slot by slot, how many keys count as common from the start. ``a`` and
     ``b`` are: of ``STARS`` hub and member with the number of shared keys, of
-    ``KEYS`` key and member, of ``COMMON`` document and slot with a count.
+    ``KEYS`` key and member with the slot, of ``COMMON`` document and slot with a
+    count.
     """
     buckets = max(shuffle_partitions(texts.sparkSession), n_bytes // BUCKET_BYTES)
     packed = texts.mapInArrow(pack_keys(words, keys_of, buckets), PACKED)

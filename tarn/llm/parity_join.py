@@ -13,8 +13,10 @@ leaves (n + m) * (100 - percent) / (100 + percent) at most.
    some segments to spare: a document is *covered* in a band if no more than
    these are bad, that is nearly empty or a key of over ``LONG`` documents.
 2. Each document is paired with the smallest ids of its lists, those two with
-   which it shares most keys; all members of short lists in different components
-   are paired with each other. Pairs whose folded sketches
+   which it shares most keys. Members of short lists in different components are
+   paired with each other, but not in every list: a link leaves not one but a known
+   number of good segments alike, so each document leaves out its longest lists, one
+   fewer than that. Pairs whose folded sketches
    differ by more than the bound are dropped, the others verified on the words.
 3. Partners that are covered neither of them meet as crowded documents.
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.key_lists import COMMON, KEYS, STARS, best_hubs, lists_of_keys
@@ -170,20 +172,59 @@ def likely_pairs(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFra
     return saved(both.mapInArrow(near_sketches(percent), "a long, b long"), "likely")
 
 
-def pairs_of_lists(listed: DataFrame, reached: DataFrame) -> DataFrame:
-    """Members of different components of each short list, once each."""
-    open_ = open_lists(listed, reached)
-    one, two = (open_.select("value", F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}")) for s in ("a", "b"))
-    met = one.join(two, "value").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-    return met.select("a", "b").distinct()
+def of_band(size: Column, slot: Column, percent: int, value: int) -> Column:
+    """What ``segments_of_band`` gives at ``value`` for a set's own band (slot 0) or the next."""
+    bounds = band_bounds(percent).tolist()
+    band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= size)) - 1
+    values = [segments_of_band(bounds, k, percent)[value] for k in range(len(bounds) - 1)]
+    return F.get(F.array(*map(F.lit, values)), band + slot.cast("int"))
 
 
 def spare_segments(size: Column, slot: Column, percent: int) -> Column:
     """How many segments may be bad in a set's own band (slot 0) or in the next."""
-    bounds = band_bounds(percent).tolist()
-    band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= size)) - 1
-    spare = [segments_of_band(bounds, k, percent)[1] for k in range(len(bounds) - 1)]
-    return F.get(F.array(*map(F.lit, spare)), band + slot.cast("int"))
+    return of_band(size, slot, percent, 1)
+
+
+def alike_in_links(percent: int) -> Column:
+    """The good segments, at least, that a set shares with any link; of columns ``n``, ``slot`` and ``bad``.
+
+    A link's difference is most with the largest partner, and changes as many
+    segments at most. A segment that is alike is bad for both or for neither.
+    """
+    most = F.expr(f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}")
+    return of_band(F.col("n"), F.col("slot"), percent, 0) - most - F.col("bad")
+
+
+def needed_lists(open_: DataFrame, bad: DataFrame, originals: DataFrame, percent: int) -> DataFrame:
+    """``open_`` (value, doc_id, slot, times, component) without the longest lists of each document, and with ``n``.
+
+    If a link leaves k good segments alike, then in any order that is the same for
+    all documents some list of both is not among the last k - 1 of either. A list
+    counts as often as its key is in the document.
+    """
+    members = F.count(F.lit(1)).over(Window.partitionBy("value"))
+    longest = Window.partitionBy("doc_id", "slot").orderBy(F.desc("members"), F.desc("value"))
+    placed = open_.withColumn("members", members).withColumn("place", F.sum("times").over(longest))
+    known = placed.join(bad, ["doc_id", "slot"], "left").fillna(0, "bad").join(originals.select("doc_id", "n"), "doc_id")
+    return saved(known.filter(F.col("place") >= alike_in_links(percent)).select(*open_.columns, "n"), "needed")
+
+
+def pairs_of_lists(needed: DataFrame, percent: int) -> DataFrame:
+    """Members of different components of each list whose sizes allow a link, once each.
+
+    Sets that both have a key of the next band are in one band and meet there.
+    """
+    one, two = (
+        needed.select("value", *(F.col(c).alias(f"{short}{s}") for c, short in (("doc_id", ""), ("component", "c_"), ("n", "n_"), ("slot", "slot_"))))
+        for s in ("a", "b")
+    )
+    met = one.join(two, "value").filter(
+        (F.col("a") < F.col("b"))
+        & (F.col("c_a") != F.col("c_b"))
+        & (F.col("slot_a") + F.col("slot_b") < 2)
+        & close_sizes(F.col("n_a"), F.col("n_b"), percent)
+    )
+    return met.select("a", "b").distinct()
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -212,8 +253,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     own = texts.join(originals.select("doc_id", "mark"), ["doc_id", "mark"]).select("doc_id", "text")
     found = lists_of_keys(own, words, keys_in_bands(percent), originals.agg(F.sum("n_bytes")).first()[0] or 0)
     stars = best_hubs(found.filter(F.col("kind") == STARS))
-    listed = found.filter(F.col("kind") == KEYS).select(F.col("a").alias("value"), F.col("b").alias("doc_id"))
-    listed = listed.distinct()
+    listed = found.filter(F.col("kind") == KEYS).select(F.col("a").alias("value"), F.col("b").alias("doc_id"), F.col("times").alias("slot"))
+    listed = listed.groupBy("value", "doc_id", "slot").agg(F.count(F.lit(1)).alias("times"))
 
     bad = found.filter(F.col("kind") == COMMON).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("slot")).agg(F.sum("times").alias("bad"))
     over = F.col("bad") > spare_segments(F.col("n"), F.col("slot"), percent)
@@ -226,7 +267,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     hubs = overlaps(likely_pairs(stars, sketched, percent), originals, texts, words).filter(is_link(percent))
     reached = connected_components(hubs.select("a", "b"))
-    lists = likely_pairs(pairs_of_lists(listed, reached), sketched, percent)
+    needed = needed_lists(open_lists(listed, reached), bad, originals, percent)
+    lists = likely_pairs(pairs_of_lists(needed, percent), sketched, percent)
     reached = merged(reached, overlaps(lists, originals, texts, words).filter(is_link(percent)))
 
     likely = lambda pairs: likely_pairs(pairs, sketched, percent)
