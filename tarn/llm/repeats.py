@@ -18,6 +18,9 @@ what is known about them, and what else is shuffled are packed hashes.
    windows go to buckets by their own hash, so that only equal ones meet.
 4. A bucket compares the windows themselves and names the stretches to remove.
 
+To its bucket a task sends what it has as one row of packed arrays: by itself a
+segment would take more bytes for its row than for its units.
+
 In steps 2 and 3 each task first settles among its own rows what repeats there:
 a passage that a third of all documents hold leaves a task once, not once for
 each document, and what is settled goes past the buckets. The number of buckets
@@ -319,13 +322,51 @@ def routed(segments: DataFrame, shape, buckets: int, hot_windows: int = HOT_WIND
     return cold.unionByName(split.filter("not settled")), segments.filter("settled").unionByName(split.filter("settled"))
 
 
+GATHERED = "bucket int, docs binary, starts binary, windows binary, lengths binary, units binary"
+
+
+def gather_segments(batches) -> Iterator[pa.RecordBatch]:
+    """Segments of a task as one row for each bucket."""
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        bucket, docs, starts, windows = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.argsort(bucket, kind="stable")
+        units = pa.concat_arrays([h[4] for h in held]).take(pa.array(order))
+        begins, _ = groups_of(bucket[order])
+        ends = np.append(begins[1:], len(order))
+        bounds = bounds_of(units)
+        columns = (docs[order], starts[order], windows[order], np.diff(bounds).astype(np.int32))
+        packed = [binary_array(c.view(np.uint8), begins * c.itemsize, ends * c.itemsize) for c in columns]
+        data = np.frombuffer(units.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        packed.append(binary_array(data, bounds[begins] - bounds[0], bounds[ends] - bounds[0]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order][begins], pa.int32()), *(p.cast(pa.binary()) for p in packed)],
+            names=["bucket", "docs", "starts", "windows", "lengths", "units"],
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        numbers = [batch.column(c).to_numpy() for c in ("bucket", "doc_id", "start", "windows")]
+        units = batch.column("units").cast(pa.large_binary())
+        if len(units):
+            held.append((*numbers, units))
+            size += units.nbytes + 20 * len(units)
+        if size >= HELD_BYTES:
+            yield from flush(held)
+            held, size = [], 0
+    if held:
+        yield from flush(held)
+
+
 def match_segments(shape):
     """Of one bucket: the stretches of windows that occur earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        d, s, n = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "windows"))
-        units = table.column("units").combine_chunks().cast(pa.large_binary())
+        parts = {c: b"".join(table.column(c).to_pylist()) for c in ("docs", "starts", "windows", "lengths", "units")}
+        d = np.frombuffer(parts["docs"], np.int64)
+        s, n, lengths = (np.frombuffer(parts[c], np.int32).astype(np.int64) for c in ("starts", "windows", "lengths"))
+        to = np.cumsum(lengths)
+        units = binary_array(np.frombuffer(parts["units"], np.uint8), to - lengths, to)
         segment, at, length = shape.repeats(d, s, n, units)
         docs, begins, ends = joined(d[segment], s[segment] + at, s[segment] + at + length)
         return pa.table({"doc_id": docs, "start": begins.astype(np.int32), "end": ends.astype(np.int32)})
@@ -386,7 +427,8 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
     texts = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("same", F.lit(False)))
     segments = shared_segments(texts.filter("not copy").select("doc_id", "text"), shape, buckets)
     open_, settled = routed(segments, shape, buckets)
-    matched = open_.groupBy("bucket").applyInArrow(match_segments(shape), STRETCHES)
+    gathered = open_.select("bucket", "doc_id", "start", "windows", "units").mapInArrow(gather_segments, GATHERED)
+    matched = gathered.groupBy("bucket").applyInArrow(match_segments(shape), STRETCHES)
     settled = settled.select("doc_id", "start", (F.col("start") + F.col("windows") + shape.width - 1).alias("end"))
     stretches = (
         matched.union(settled)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm.repeats import routed, shared_segments
+from tarn.llm.repeats import gather_segments, routed, shared_segments
 from tarn.llm.substring_dedup import WordWindows, remove_repeated_windows
 from tarn.llm.suffix_dedup import ByteWindows, previous_factors, remove_repeated_strings
 from tests.llm.test_dedup import brute_strings, brute_windows, strings, texts_of, windows
@@ -65,3 +65,26 @@ def test_hot_strings_are_split_and_nothing_is_lost(docs_of, shape, remove, plain
     open_, _ = routed(segments, shape, 211, hot_windows=1000)
     sizes = open_.groupBy("bucket").agg(F.sum("windows").alias("n")).agg(F.max("n"), F.sum("n")).first()
     assert sizes[0] < 0.05 * sizes[1]
+
+
+@pytest.mark.parametrize("shape", [ByteWindows(), WordWindows()])
+def test_a_task_sends_each_bucket_one_row(docs_of, shape):
+    """With columns of their own segments took 128 bytes and more each, units of 63 for op 9."""
+    middle = " ".join(f"common{k}" for k in range(60))
+    docs = docs_of([f"{middle} {' '.join(f'own{i}.{k}' for k in range(30))} {middle}" for i in range(60)])
+    open_, _ = routed(shared_segments(docs.select("doc_id", "text"), shape, 3), shape, 3, hot_windows=100_000)
+    segments = open_.select("bucket", "doc_id", "start", "windows", "units").toArrow()
+    assert segments.num_rows > 6
+    batches = segments.to_batches(max_chunksize=5)
+    (packed,) = gather_segments(iter(batches))
+    assert packed.num_rows == len(set(segments.column("bucket").to_pylist())) <= 3
+    size = sum(len(v) for c in packed.column_names[1:] for v in packed.column(c).to_pylist())
+    assert size == sum(map(len, segments.column("units").to_pylist())) + 20 * segments.num_rows
+    sent = {}
+    for bucket, doc, start, n, units in zip(*(c.to_pylist() for c in segments.columns), strict=True):
+        sent.setdefault(bucket, []).append((doc, start, n, units))
+    for row in packed.to_pylist():
+        ends = np.cumsum(np.frombuffer(row["lengths"], np.int32)).tolist()
+        numbers = (np.frombuffer(row[c], t).tolist() for c, t in (("docs", np.int64), ("starts", np.int32), ("windows", np.int32)))
+        units = [row["units"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        assert sorted(zip(*numbers, units, strict=True)) == sorted(sent[row["bucket"]])
