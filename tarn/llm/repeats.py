@@ -13,10 +13,15 @@ what is known about them, and what else is shuffled are packed hashes.
 3. Segments. Windows holding a shared anchor, and only they, go to buckets by
    the least hash inside them, which equal windows have in common. Neighbours
    with the same least hash travel together as one segment. The windows of each
-   least hash are counted first: one that more than ``HOT_WINDOWS`` have, such as
-   a string shorter than a window that many documents share, is split. Its
-   windows go to buckets by their own hash, so that only equal ones meet.
+   least hash are counted first: one that more than ``HOT_WINDOWS`` have, and
+   more than a part of what a bucket gets anyway, such as a string shorter than a
+   window that many documents share, is cut into pieces
+   by other anchors (for op 9 longer ones, with several windows to a piece, as
+   single windows overlap). Of hot pieces the windows go to buckets by their own
+   hash, so that only equal ones meet. Equal segments meet before they are cut.
 4. A bucket compares the windows themselves and names the stretches to remove.
+   Buckets take turns, so that what is shuffled at once is no more than the text.
+   The stretches are written, and the tables of segments removed.
 
 To its bucket a task sends what it has as one row of packed arrays: by itself a
 segment would take more bytes for its row than for its units.
@@ -30,6 +35,7 @@ follows the size of the input, so that a bucket stays about the same size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +43,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rolling import mix, slices
-from tarn.llm.shared import earliest_of_copies, hint_small, saved, shuffle_partitions, text_or_empty
+from tarn.llm.shared import (
+    brief_shuffles,
+    earliest_of_copies,
+    hint_small,
+    remove_tables,
+    saved,
+    shuffle_partitions,
+    text_or_empty,
+)
 
 # Anchors or segment bytes that a task holds before it passes them on.
 HELD_ANCHORS = 1_000_000
 HELD_BYTES = 1 << 24
 # Bytes of text for each bucket.
 BUCKET_BYTES = 1 << 22
-# Windows with one least hash that travel to one bucket.
+# Windows with one least hash that travel to one bucket; or this part of the windows
+# of a mean bucket (one in so many), if that is more. With a fixed number alone ever more least hashes
+# would be hot in larger tables, though the buckets are no larger.
 HOT_WINDOWS = 4096
+HOT_PART = 128
 # Windows of a segment that are split at once.
 PIECE_WINDOWS = 1 << 16
+# Bytes of segments that are shuffled at once; those of the texts if they are more.
+TURN_BYTES = 1 << 28
 # Bytes of the values in a batch: their places are 32-bit numbers.
 BATCH_BYTES = 1 << 28
 
@@ -281,16 +300,14 @@ def pack_segments(shape, anchor_buckets: int, buckets: int):
     return run
 
 
-def split_windows(shape, buckets: int):
-    """Segments cut into their windows, each in a bucket by its own hash."""
+def split_windows(shape, buckets: int, cut: int):
+    """Segments cut into pieces, each in a bucket by its own hash."""
 
     def flush(held) -> Iterator[pa.RecordBatch]:
         docs, starts, windows = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
         units = pa.array([h[4] for h in held], pa.large_binary())
-        segment, at = expand(np.arange(len(docs)), windows)
-        single, hashes = shape.single_windows(units, windows)
-        ones = np.ones(len(segment), np.int64)
-        yield from settle(shape, hashes, docs[segment], starts[segment] + at, ones, single, lambda chosen: hashes[chosen] % np.uint64(buckets))
+        segment, at, n, pieces, hashes = shape.pieces(units, windows, cut)
+        yield from settle(shape, hashes, docs[segment], starts[segment] + at, n, pieces, lambda chosen: hashes[chosen] % np.uint64(buckets))
 
     def run(batches):
         held, size = [], 0
@@ -310,16 +327,34 @@ def split_windows(shape, buckets: int):
     return run
 
 
-def routed(segments: DataFrame, shape, buckets: int, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """Segments to compare in their buckets, and settled ones; hot least hashes are split."""
-    segments = saved(segments, "segments")
-    open_ = segments.filter("not settled")
-    hot = open_.groupBy("least").agg(F.sum("windows").alias("n")).filter(F.col("n") > hot_windows).select("least")
-    hot = saved(hot, "hot")
-    cold = open_.join(hint_small(hot), "least", "left_anti").select(*segments.columns)
-    split = open_.join(hint_small(hot), "least", "left_semi").select(*segments.columns)
-    split = saved(split.mapInArrow(split_windows(shape, buckets), SEGMENTS), "split")
-    return cold.unionByName(split.filter("not settled")), segments.filter("settled").unionByName(split.filter("settled"))
+def routed(
+    segments: DataFrame, shape, buckets: int, hot_windows: int = HOT_WINDOWS, paths: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Segments to compare in their buckets, and settled ones; hot least hashes are split.
+
+    ``paths`` gets the paths of the tables that both read.
+    """
+    paths = [] if paths is None else paths
+    left = saved(segments, "segments", paths)
+    windows = left.filter("not settled").agg(F.sum("windows")).first()[0] or 0
+    hot_windows = max(hot_windows, windows // (HOT_PART * buckets))
+    cold, settled = [], [left.filter("settled")]
+    for cut in shape.cuts:
+        open_ = left.filter("not settled")
+        hot = open_.groupBy("least").agg(F.sum("windows").alias("n")).filter(F.col("n") > hot_windows).select("least")
+        hot = hint_small(saved(hot, "hot", paths))
+        if hot.isEmpty():
+            cold.append(open_)
+            break
+        cold.append(open_.join(hot, "least", "left_anti").select(*left.columns))
+        split = open_.join(hot, "least", "left_semi").select(*left.columns)
+        # Equal segments of all tasks side by side, so that they are settled; a partition of many is divided.
+        split = split.hint("rebalance", F.col("units")).sortWithinPartitions("units")
+        left = saved(split.mapInArrow(split_windows(shape, buckets, cut), SEGMENTS), "split", paths)
+        settled.append(left.filter("settled"))
+    else:
+        cold.append(left.filter("not settled"))
+    return reduce(DataFrame.unionByName, cold), reduce(DataFrame.unionByName, settled)
 
 
 GATHERED = "bucket int, docs binary, starts binary, windows binary, lengths binary, units binary"
@@ -400,6 +435,36 @@ def shared_segments(texts: DataFrame, shape, buckets: int) -> DataFrame:
     return known.mapInArrow(pack_segments(shape, buckets, buckets), SEGMENTS)
 
 
+def matched_stretches(open_: DataFrame, shape, text_bytes: int, paths: list[str], turn_bytes: int = TURN_BYTES) -> DataFrame:
+    """What the buckets of the segments find, some of the buckets after others."""
+    open_ = open_.select("bucket", "doc_id", "start", "windows", "units")
+    segments, windows = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    size = shape.unit_bytes(segments, windows) + 20 * segments
+    turns = -(-size // max(text_bytes, turn_bytes)) or 1
+    found = []
+    for turn in range(turns):
+        part = open_.filter(F.col("bucket") % turns == turn) if turns > 1 else open_
+        gathered = part.mapInArrow(gather_segments, GATHERED)
+        found.append(saved(gathered.groupBy("bucket").applyInArrow(match_segments(shape), STRETCHES), "stretches", paths))
+    return reduce(DataFrame.union, found)
+
+
+def all_stretches(texts: DataFrame, shape, buckets: int, text_bytes: int) -> DataFrame:
+    """The stretches to remove from each document, written; tables that only led to them are removed."""
+    paths: list[str] = []
+    open_, settled = routed(shared_segments(texts, shape, buckets), shape, buckets, paths=paths)
+    matched = matched_stretches(open_, shape, text_bytes, paths)
+    settled = settled.select("doc_id", "start", (F.col("start") + F.col("windows") + shape.width - 1).alias("end"))
+    stretches = (
+        matched.union(settled)
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+    )
+    stretches = saved(stretches, "stretches")
+    remove_tables(texts.sparkSession, paths)
+    return stretches
+
+
 def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
     """``docs`` (doc_id long, text) with ``copy`` and ``stretches``.
 
@@ -414,26 +479,18 @@ def repeated_stretches(docs: DataFrame, shape) -> DataFrame:
     every = docs.select("doc_id", text_or_empty().alias("text"))
     nameless = every.filter("doc_id is null")
     texts = every.filter("doc_id is not null")
-    sized = saved(
-        texts.select("doc_id", shape.digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes")),
-        "digests",
-    )
-    copies = earliest_of_copies(sized.filter("digest is not null"), "digest")
-    copies = copies.groupBy("doc_id").agg(F.min(F.col("first_id") < F.col("doc_id")).alias("same"))
-    total = sized.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
-
-    # Joins on the id alone, so that a shuffle of the texts serves both passes of a plan.
-    texts = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("same", F.lit(False)))
-    segments = shared_segments(texts.filter("not copy").select("doc_id", "text"), shape, buckets)
-    open_, settled = routed(segments, shape, buckets)
-    gathered = open_.select("bucket", "doc_id", "start", "windows", "units").mapInArrow(gather_segments, GATHERED)
-    matched = gathered.groupBy("bucket").applyInArrow(match_segments(shape), STRETCHES)
-    settled = settled.select("doc_id", "start", (F.col("start") + F.col("windows") + shape.width - 1).alias("end"))
-    stretches = (
-        matched.union(settled)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
-    )
+    with brief_shuffles(spark):
+        sized = saved(
+            texts.select("doc_id", shape.digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes")),
+            "digests",
+        )
+        copies = earliest_of_copies(sized.filter("digest is not null"), "digest")
+        copies = copies.groupBy("doc_id").agg(F.min(F.col("first_id") < F.col("doc_id")).alias("same"))
+        total = sized.agg(F.sum("n_bytes")).first()[0] or 0
+        buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
+
+        # Joins on the id alone, so that a shuffle of the texts serves both passes of a plan.
+        texts = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("same", F.lit(False)))
+        stretches = all_stretches(texts.filter("not copy").select("doc_id", "text"), shape, buckets, total)
     found = texts.join(stretches, "doc_id", "left").select("doc_id", "text", "copy", "stretches")
     return found.unionByName(nameless.withColumn("copy", F.lit(False)), allowMissingColumns=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_folder: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -48,16 +51,47 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut.
 
-    The table outlives the executors that wrote it.
+    The table outlives the executors that wrote it. With ``paths``, which gets its
+    path, it is one to remove later, and packed more closely.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if paths is not None:
+        paths.append(path)
+        writer = writer.option("compression", "zstd")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``saved`` that nothing reads any more."""
+    context = spark.sparkContext
+    for path in paths:
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs inside go when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage. What
+    reads one of them again makes it anew.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def hint_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``ids`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 

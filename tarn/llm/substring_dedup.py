@@ -38,6 +38,10 @@ class WordWindows:
     def block(self) -> int:
         return self.width // 2
 
+    def unit_bytes(self, segments: int, windows: int) -> int:
+        """Of the units of so many segments."""
+        return self.window_bytes * windows
+
     def digest(self, text: Column) -> Column:
         """Equal for equal words; null for texts shorter than a window."""
         words = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
@@ -77,11 +81,16 @@ class WordWindows:
     def cut(self, units: bytes, first: int, windows: int) -> bytes:
         return units[first * self.window_bytes : (first + windows) * self.window_bytes]
 
-    def single_windows(self, units, windows):
-        """Each window of the segments by itself, and a hash of it."""
+    # Hot segments are cut into single windows at once: by itself a window has no more units.
+    cuts = (0,)
+
+    def pieces(self, units, windows, cut):
+        """Each window of the segments by itself: segment, place, windows, units, a hash of it."""
+        segment, at = expand(np.arange(len(units)), windows)
         values = np.frombuffer(b"".join(units.to_pylist()), np.uint64).reshape(-1, 2)
         ends = np.arange(len(values) + 1) * self.window_bytes
-        return binary_array(values, ends[:-1], ends[1:]), mix(values[:, 0] ^ mix(values[:, 1]))
+        single = binary_array(values, ends[:-1], ends[1:])
+        return segment, at, np.ones(len(at), np.int64), single, mix(values[:, 0] ^ mix(values[:, 1]))
 
     def repeats(self, doc, start, windows, units):
         """Windows that equal an earlier one, in order of id and start: segment, place, words."""

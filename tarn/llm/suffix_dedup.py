@@ -63,29 +63,46 @@ class ByteWindows:
         begin, windows = segments_of(at, rows, least)
         hit = is_shared(rows[at[begin]], least[at[begin]])
         start, windows = at[begin][hit], windows[hit]
+        row = rows[start]
+        return row, least[start], start - offsets[row], windows, self._units(data, start, windows)
+
+    def _units(self, data, start, windows):
+        """The bytes of so many windows from each start."""
         lengths = windows + self.width - 1
         to = np.cumsum(lengths)
         source = np.repeat(start - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)
-        units = binary_array(data[source], to - lengths, to)
-        row = rows[start]
-        return row, least[start], start - offsets[row], windows, units
+        return binary_array(data[source], to - lengths, to)
 
     @property
     def window_bytes(self) -> int:
         return self.width
 
+    def unit_bytes(self, segments: int, windows: int) -> int:
+        """Of the units of so many segments."""
+        return windows + (self.width - 1) * segments
+
     def cut(self, units: bytes, first: int, windows: int) -> bytes:
         return units[first : first + windows + self.width - 1]
 
-    def single_windows(self, units, windows):
-        """Each window of the segments by itself, and a hash of it."""
+    @property
+    def cuts(self):
+        """Lengths of the anchors by which hot segments are cut again; the last gives single windows."""
+        return (self.anchor + self.width) // 2, self.width
+
+    def pieces(self, units, windows, cut):
+        """Runs of windows with one least hash of ``cut`` bytes: segment, place, windows, units, hash.
+
+        By itself a window takes ``width`` bytes, in a run little more than one.
+        """
         bounds, data = bounds_of(units), np.frombuffer(units.buffers()[2], np.uint8)
         segment, at = expand(np.arange(len(units)), windows)
         place = bounds[segment] + at
-        ends = np.arange(len(place) + 1) * self.width
-        values = data[(place[:, None] + np.arange(self.width)).ravel()]
-        hashes = mix(byte_prefix(data[: bounds[-1]]).rolling(self.width), 4)[place]
-        return binary_array(values, ends[:-1], ends[1:]), hashes
+        least = sliding_min(mix(byte_prefix(data[: bounds[-1]]).rolling(cut), 4), self.width - cut + 1)
+        if cut == self.width:
+            begin, n = np.arange(len(place)), np.ones(len(place), np.int64)
+        else:
+            begin, n = segments_of(place, np.repeat(np.arange(len(units)), np.diff(bounds)), least)
+        return segment[begin], at[begin], n, self._units(data, place[begin], n), least[place[begin]]
 
     def repeats(self, doc, start, windows, units):
         """Suffixes that repeat ``width`` bytes or more of an earlier document, and how many.
